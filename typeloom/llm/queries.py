@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from typeloom.llm import mixing, urlfilter
+from typeloom.llm import compressor, mixing, packing, urlfilter
+from typeloom.llm.common import fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,22 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compressor.train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    return compressor.score_documents(docs, model, carry=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op3_mix": op3_mix,
     "op7_urlfilter": op7_urlfilter,
+    "op8_pack": op8_pack,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {
