@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compressor, mixing, packing, urlfilter
+from typeloom.llm import compressor, mixing, ngramjoin, packing, urlfilter
 from typeloom.llm.common import fold_of
 
 
@@ -42,11 +42,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressor.score_documents(docs, model, carry=("doc_id",)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, p=90, q=100)
+
+
 QUERIES = {
     "op3_mix": op3_mix,
     "op7_urlfilter": op7_urlfilter,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
+    "op10_ngramjoin": op10_ngramjoin,
 }
 
 ORACLES = {
