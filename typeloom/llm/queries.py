@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compressor, mixing, ngramjoin, packing, urlfilter
+from typeloom.llm import compressor, mixing, ngramjoin, packing, quality_rules, urlfilter
 from typeloom.llm.common import fold_of
 
 
@@ -18,6 +18,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 #: The rules of the contract, and patterns of our own that the given pages don't meet.
 URL_RULES = [
     urlfilter.host_rule("block", "net/"),
@@ -48,6 +53,7 @@ def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mix": op3_mix,
+    "op6_rules": op6_rules,
     "op7_urlfilter": op7_urlfilter,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
