@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compressor, mixing, ngramjoin, packing, quality_rules, urlfilter
+from typeloom.llm import compressor, mixing, ngramjoin, packing, quality_rules, toxicity, urlfilter
 from typeloom.llm.common import fold_of
 
 
@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_mix": op3_mix,
     "op6_rules": op6_rules,
     "op7_urlfilter": op7_urlfilter,
