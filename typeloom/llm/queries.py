@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compressor, mixing, ngramjoin, packing, quality_rules, toxicity, urlfilter
+from typeloom.llm import compressor, langid, mixing, ngramjoin, packing, quality_rules, toxicity, urlfilter
 from typeloom.llm.common import fold_of
 
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    return langid.label_documents(docs, langid.train(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +65,7 @@ def op10_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_toxicity": op2_toxicity,
     "op3_mix": op3_mix,
     "op6_rules": op6_rules,

@@ -9,14 +9,19 @@ import pyarrow.compute as pc
 from typeloom.llm import bytewords as bw
 
 
-def stream(col: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes with 0 at each separator, one before each row; then start, end and row of each word."""
+def stream_and_bytes(col: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `stream`, and the bytes themselves, with a newline before each row."""
     texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.fill_null(col.cast(pa.large_string()), ""), pa.scalar("\n", pa.large_string()))
     data, offsets = bw.texts_of(texts)
     s, e, row = bw.words_of(data, offsets, separators)
     out = np.zeros(len(data) + 8, np.uint8)
     out[: len(data)] = np.where(separators[data], 0, bw.LOWER[data])
-    return out, s, e, row
+    return out, s, e, row, data
+
+
+def stream(col: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes with 0 at each separator, one before each row; then start, end and row of each word."""
+    return stream_and_bytes(col, separators)[:4]
 
 
 def ngrams(stream_: np.ndarray, n: int, bits: int) -> np.ndarray:
