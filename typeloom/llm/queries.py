@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compressor, langid, mixing, ngramjoin, packing, quality_rules, topk, toxicity, urlfilter
+from typeloom.llm import compressor, langid, mixing, ngramjoin, packing, pii, quality_rules, topk, toxicity, urlfilter
 from typeloom.llm.common import fold_of
 
 
@@ -31,6 +31,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_toxicity": op2_toxicity,
     "op3_mix": op3_mix,
+    "op4_pii": op4_pii,
     "op5_topk": op5_topk,
     "op6_rules": op6_rules,
     "op7_urlfilter": op7_urlfilter,
