@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     text = F.col("text")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     key = -F.log(unit_hash(F.col("doc_id"), seed=seed)) / F.coalesce(quality_weight(text), F.lit(1.0))
-    sized = stash(docs.select("doc_id", F.col("source"), *carry, size.alias("size"), key.alias("key")), "mix-sizes")
+    sized = stash(docs.select(*dict.fromkeys(["doc_id", "source", *carry]), size.alias("size"), key.alias("key")), "mix-sizes")
 
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     aim = targets([(r["source"], r["size"]) for r in per_source], weights, share, most)
@@ -92,4 +92,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     budget = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("base") - F.col("ahead")))
     taken = (epochs * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(c for c in carry if c != "doc_id"))
