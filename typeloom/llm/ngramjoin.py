@@ -155,35 +155,44 @@ def _describe(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
+class Members:
+    """A bitmap of FILTER_BITS bits of hashed values: tells most non-members apart before anything is shuffled.
+
+    Its size is fixed whatever the corpus. It may let others pass, so a join follows.
+    """
+
+    def __init__(self, values: DataFrame, column: str):
+        slot = F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS).alias("slot")
+        pages = values.select(slot).groupBy(F.floor(F.col("slot") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("long")).alias("bits"))
+        filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for r in pages.toLocalIterator():
+            filled[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.table = values.sparkSession.sparkContext.broadcast(filled)
+
+    def slots(self, hashed: np.ndarray) -> np.ndarray:
+        """Which values may be members; `hashed` is their xxhash64."""
+        slot = hashed.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return (self.table.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _candidate_edges(reps: DataFrame) -> DataFrame:
     """Edges (a, b) by which all representatives that share a key are connected."""
-    spark = reps.sparkSession
     pairs = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = pairs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stash(shared, "join-keys")
     two = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     more = shared.where("n > 2").select("key", "low")
-
-    # Keys of three documents and more are joined back. Most documents hold none of them, which a
-    # bitmap of fixed size tells before anything is shuffled; it may pass others, and the join drops those.
-    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    bits = more.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("long")).alias("bits"))
-    filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in bits.toLocalIterator():
-        filled[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    known = spark.sparkContext.broadcast(filled)
+    # Keys of three documents and more are joined back; most documents hold none of them.
+    known = Members(more, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
         for b in batches:
-            lists = b.column(1)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths().fill_null(0)))
-            s = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            hit = (table[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(keys[hit])], names=["doc_id", "key"])
-
-    maybe = reps.select("doc_id", "keys").mapInArrow(run, "doc_id long, key long")
+            sizes = np.asarray(b.column(1).value_lengths().fill_null(0))
+            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
+            hit = known.slots(b.column(2).flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), b.column(1).flatten().filter(pa.array(hit))], names=["doc_id", "key"])
+
+    maybe = reps.select("doc_id", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashed")).mapInArrow(run, "doc_id long, key long")
     back = maybe.join(more, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     return two.union(back).distinct()
 
@@ -281,18 +290,19 @@ def tree_join(sets: list[np.ndarray], tile: np.ndarray, p: int, q: int, across:
     return forest
 
 
-def _sets(docs: DataFrame, n: int, carry: tuple[str, ...]) -> DataFrame:
-    """The carried columns and `shingles`, the set's hashes as bytes."""
-    schema = docs.select(*carry).schema.add("n_shingles", "long").add("shingles", "binary")
+def _sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
+    """doc_id, n_shingles and `shingles` (the set's hashes as bytes) of rows whose doc_id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.filter(pa.array(wanted.slots(whole.column(2).to_numpy(zero_copy_only=False))))
             for b in bw.ranges(whole, budget=2 << 20):
-                values, bounds = shingle_sets(*bw.texts_of(b.column(b.schema.get_field_index("text"))), n)
+                values, bounds = shingle_sets(*bw.texts_of(b.column(1)), n)
                 raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in carry), pa.array(np.diff(bounds)), raw], names=[*carry, "n_shingles", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), raw], names=["doc_id", "n_shingles", "shingles"])
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("hashed"))
+    return picked.mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
 def _verified_edges(members: DataFrame, p: int, q: int) -> DataFrame:
@@ -340,19 +350,15 @@ def _verified_edges(members: DataFrame, p: int, q: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links of similarity p/q or more."""
     sets = stash(_describe(docs, n, p, q), "join-sets")
-    alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classed = stash(
-        sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(alike, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "d1", "d2", "rep"),
-        "join-classes",
-    )
-    # One row a representative: a repeated row of its own id is one document still, unless its set differs.
-    reps = sets.join(classed.where("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct(), ["doc_id", "n_shingles", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    candidates = _candidate_edges(reps.select("doc_id", "keys"))
-    clusters = connected(candidates).withColumnsRenamed({"component": "cluster"})
-
-    chosen = clusters.withColumnRenamed("node", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    members = stash(_sets(texts, n, ("cluster", "doc_id")).where("n_shingles > 0").dropDuplicates(["doc_id", "shingles"]), "join-members")
+    some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Equal sets have equal keys, so one row of a class has them all; copies are combined before the shuffle.
+    reps = stash(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "join-classes")
+    classed = some.select("doc_id", "n_shingles", "d1", "d2").join(reps.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"])
+    candidates = _candidate_edges(reps.select(F.col("rep").alias("doc_id"), "keys"))
+    clusters = connected(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+    found = _sets(docs, n, Members(clusters, "doc_id")).where("n_shingles > 0").join(clusters, "doc_id")
+    members = stash(found.dropDuplicates(["doc_id", "shingles"]), "join-members")
     links = connected(_verified_edges(members, p, q))
 
     out = classed.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
