@@ -1,0 +1 @@
+"""Column-level functions: characters, patterns, matches and their positions."""

@@ -19,13 +19,13 @@ def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def running(a: Column, combine: Callable[[Column, Column], Column], zero: int = 0, block: int = 64) -> Column:
-    """Inclusive running combination of an array of integers."""
+def running(a: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
+    """Inclusive running combination (of an associative operation) of an array, in two levels."""
     part = lambda i: F.floor(i / block).cast("int")
-    fold = lambda x: F.aggregate(x, F.lit(zero), combine)
+    fold = lambda x: F.aggregate(x, zero, combine)
     totals = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: fold(F.slice(a, b * block + 1, block)))
-    before = F.aggregate(totals, F.array(F.lit(zero)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
-    return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: combine(F.get(before, part(i)), fold(F.slice(a, part(i) * block + 1, i % block + 1))))
+    before = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+    return F.transform(a, lambda _, i: combine(F.get(before, part(i)), fold(F.slice(a, part(i) * block + 1, i % block + 1))))
 
 
 def positioned(m: Column, gaps: Column) -> Column:
@@ -34,21 +34,28 @@ def positioned(m: Column, gaps: Column) -> Column:
     `start` is 0-based in code points, `index` in UTF-16 units; `line` and `column` (UTF-16) are
     1-based; `gap` is the text since the match before.
     """
-    pieces = F.transform(m, lambda _, i: F.when(i == 0, F.get(gaps, i)).otherwise(F.concat(F.get(m, i - 1), F.get(gaps, i))))
-    plus = lambda x, y: x + y
-    tail = lambda s: utf16_length(F.substring_index(s, "\n", -1))
-    rows = lambda start, index, lines, line_start: F.transform(
-        m,
-        lambda x, i: F.struct(
-            x.alias("m"), F.get(gaps, i).alias("gap"), F.get(start, i).alias("start"), F.get(index, i).alias("index"),
-            (F.get(lines, i) + 1).alias("line"), (F.get(index, i) - F.get(line_start, i) + 1).alias("column"),
+
+    def extent(s: Column) -> Column:
+        """Code points, units, newlines, and units since the last newline."""
+        rows = F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+        units = utf16_length(s)
+        tail = F.when(s.contains("\n"), utf16_length(F.substring_index(s, "\n", -1))).otherwise(units)
+        return F.struct(F.length(s).alias("points"), units.alias("units"), rows.alias("rows"), tail.alias("tail"))
+
+    def after(x: Column, y: Column) -> Column:
+        tail = F.when(y["rows"] > 0, y["tail"]).otherwise(x["tail"] + y["tail"])
+        return F.struct((x["points"] + y["points"]).alias("points"), (x["units"] + y["units"]).alias("units"), (x["rows"] + y["rows"]).alias("rows"), tail.alias("tail"))
+
+    nothing = F.struct(*(F.lit(0).alias(n) for n in ("points", "units", "rows", "tail")))
+    # What stands between two matches' beginnings: a match and the gap that follows it.
+    extents = F.transform(m, lambda _, i: F.when(i == 0, extent(F.get(gaps, i))).otherwise(after(extent(F.get(m, i - 1)), extent(F.get(gaps, i)))))
+    placed = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("gap"), running(extents, after, nothing).alias("at"))
+    return F.transform(
+        placed,
+        lambda z: F.struct(
+            z["m"].alias("m"), z["gap"].alias("gap"), z["at"]["points"].alias("start"), z["at"]["units"].alias("index"), (z["at"]["rows"] + 1).alias("line"), (z["at"]["tail"] + 1).alias("column"),
         ),
     )
-    start = running(F.transform(pieces, lambda s: F.length(s)), plus)
-    index = running(F.transform(pieces, utf16_length), plus)
-    lines = running(F.transform(pieces, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))), plus)
-    line_start = running(F.transform(pieces, lambda s, i: F.when(s.contains("\n"), F.get(index, i) - tail(s)).otherwise(F.lit(0))), lambda x, y: F.greatest(x, y))
-    return rows(start, index, lines, line_start)
 
 
 POSITIONED = "array<struct<m:string,gap:string,start:int,index:int,line:int,column:int>>"
