@@ -175,26 +175,25 @@ class Members:
         return (self.table.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) by which all representatives that share a key are connected."""
-    pairs = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = pairs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stash(shared, "join-keys")
-    two = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = shared.where("n > 2").select("key", "low")
-    # Keys of three documents and more are joined back; most documents hold none of them.
-    known = Members(more, "key")
+def _candidate_edges(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the digests `d1` of sets, by which all sets that share a key are connected.
+
+    The keys of all rows are only counted. Those that occur once, which are most, go no further:
+    a bitmap of the others leaves them out before anything else is shuffled.
+    """
+    often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    known = Members(often, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = np.asarray(b.column(1).value_lengths().fill_null(0))
             owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
             hit = known.slots(b.column(2).flatten().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), b.column(1).flatten().filter(pa.array(hit))], names=["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), b.column(1).flatten().filter(pa.array(hit))], names=["d1", "key"])
 
-    maybe = reps.select("doc_id", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashed")).mapInArrow(run, "doc_id long, key long")
-    back = maybe.join(more, "key").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    return two.union(back).distinct()
+    held = stash(sets.select("d1", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashed")).mapInArrow(run, "d1 long, key long"), "join-keys")
+    shared = held.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("key", "low")
+    return held.join(shared, "key").where("d1 <> low").select(F.col("low").alias("a"), F.col("d1").alias("b")).distinct()
 
 
 class Forest:
@@ -351,13 +350,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links of similarity p/q or more."""
     sets = stash(_describe(docs, n, p, q), "join-sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # Equal sets have equal keys, so one row of a class has them all; copies are combined before the shuffle.
-    reps = stash(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "join-classes")
-    classed = some.select("doc_id", "n_shingles", "d1", "d2").join(reps.select("n_shingles", "d1", "d2", "rep"), ["n_shingles", "d1", "d2"])
-    candidates = _candidate_edges(reps.select(F.col("rep").alias("doc_id"), "keys"))
-    clusters = connected(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    classes = stash(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
+    classed = some.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"])
+    clusters = connected(_candidate_edges(some.select("d1", "keys"))).withColumnRenamed("component", "cluster")
+    chosen = stash(classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("doc_id"), "cluster").distinct(), "join-clusters")
 
-    found = _sets(docs, n, Members(clusters, "doc_id")).where("n_shingles > 0").join(clusters, "doc_id")
+    found = _sets(docs, n, Members(chosen, "doc_id")).where("n_shingles > 0").join(chosen, "doc_id")
     members = stash(found.dropDuplicates(["doc_id", "shingles"]), "join-members")
     links = connected(_verified_edges(members, p, q))
 
