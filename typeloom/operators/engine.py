@@ -26,54 +26,60 @@ def _found(text: Column, rule: Rule) -> Column:
     return F.when(rule.possible(text), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).otherwise(mt.no_texts())
 
 
-def _kept(rule: Rule, text: Column, m: Column, aid: Column) -> Column:
-    """Whether a match counts. `aid`: the repair of a fixable rule, the minority of a rule with a ballot."""
-    if rule.fixable:
-        return m["m"] != aid
-    return rule.keep(text, m, aid) if rule.keep else F.lit(True)
+def _by_rule(rules: list[Rule], i: Column, values: list) -> Column:
+    return F.get(F.array(*map(F.lit, values)), i)
 
 
-def _finding(rule: Rule, text: Column, m: Column) -> Column:
-    begin, more = rule.shift
-    length = utf16_length(m["m"]) + more
-    return F.struct(
-        (m["index"] + begin).alias("index"), F.lit(rule.id).alias("rule"), length.cast("int").alias("length"), m["line"].alias("line"), (m["column"] + begin).alias("column"),
-        F.lit(rule.severity).alias("severity"), F.lit(rule.fixable).alias("fixable"), F.lit(rule.summary).alias("summary"), F.lit(rule.cite).alias("cite"),
-        excerpt(text, m["start"] + begin, F.length(m["m"]) + more).alias("excerpt"),
-    )
+def _keep(rules: list[Rule], text: Column, i: Column, m: Column, aid: Column) -> Column:
+    """Whether a match of rule `i` counts. `aid`: the repair of a fixable rule, the minority of a rule with a ballot."""
+    out = F.when(_by_rule(rules, i, [r.fixable for r in rules]), m["m"] != F.get(aid, F.lit(0)))
+    for test in dict.fromkeys(r.keep for r in rules if r.keep):
+        out = out.when(i.isin(*(n for n, r in enumerate(rules) if r.keep is test)), test(text, m, aid))
+    return out.otherwise(F.lit(True))
 
 
-def _located(df: DataFrame, jobs: list[tuple[Rule, str]]) -> tuple[DataFrame, list[str]]:
-    """`df` with an array of positioned, kept matches per (rule, text column).
+def _located(df: DataFrame, rules: list[Rule], text: str, whole: bool = True) -> DataFrame:
+    """`df` with `__at`: for each rule that found anything, its number `i` and its kept matches `k`.
 
-    In stages, so that each pattern runs once a text and positions are worked out only where it
-    found something.
+    Each pattern runs once a text. What follows is one expression over all rules, and not one a
+    rule, which keeps plans small; positions other than the start are left out unless `whole`.
     """
-    on = [(f"__{i}", r, F.col(c)) for i, (r, c) in enumerate(jobs)]
-    df = df.withColumns({f"{k}m": _found(t, r) for k, r, t in on})
-    df = df.withColumns({f"{k}g": F.when(F.size(f"{k}m") > 0, F.split(t, r.pattern, -1)) for k, r, t in on} | {f"{k}a": _aid(r, t, F.size(f"{k}m") > 0) for k, r, t in on})
-    empty = F.array().cast(mt.POSITIONED)
-    df = df.withColumns({f"{k}p": F.when(F.size(f"{k}m") > 0, mt.positioned(F.col(f"{k}m"), F.col(f"{k}g"))).otherwise(empty) for k, r, t in on})
-    test = lambda k, r, t: lambda m: _kept(r, t, m, F.col(f"{k}a"))
-    df = df.withColumns({f"{k}k": F.filter(f"{k}p", test(k, r, t)) for k, r, t in on})
-    return df, [f"{k}k" for k, _, _ in on]
+    t, place = F.col(text), mt.positioned if whole else mt.started
+    df = df.withColumns({f"__m{n}": _found(t, r) for n, r in enumerate(rules)})
 
+    def job(n: int, r: Rule) -> Column:
+        some = F.size(f"__m{n}") > 0
+        return F.struct(F.lit(n).alias("i"), F.col(f"__m{n}").alias("m"), F.when(some, F.split(t, r.pattern, -1)).alias("gaps"), _aid(r, t, some).alias("aid"))
 
-def _aid(rule: Rule, text: Column, any_: Column) -> Column:
+    df = df.withColumn("__jobs", F.filter(F.array(*(job(n, r) for n, r in enumerate(rules))), lambda j: F.size(j["m"]) > 0))
+    kept = lambda j: F.filter(place(j["m"], j["gaps"]), lambda m: _keep(rules, t, j["i"], m, j["aid"]))
+    return df.withColumn("__at", F.transform("__jobs", lambda j: F.struct(j["i"].alias("i"), kept(j).alias("k"))))
+
+
+def _aid(rule: Rule, text: Column, some: Column) -> Column:
     if rule.fixable:
-        return F.when(any_, rule.repair(text))
+        return F.when(some, F.array(rule.repair(text)))
     if rule.ballot is not None:
-        return F.when(any_, rule.ballot.minority(rule.ballot.votes(text))).otherwise(mt.no_texts())
-    return F.lit(None)
+        return F.when(some, rule.ballot.minority(rule.ballot.votes(text)))
+    return F.lit(None).cast("array<string>")
+
+
+def _finding(rules: list[Rule], text: Column, i: Column, m: Column) -> Column:
+    of = lambda values: _by_rule(rules, i, values)
+    begin, more = of([r.shift[0] for r in rules]), of([r.shift[1] for r in rules])
+    return F.struct(
+        (m["index"] + begin).alias("index"), of([r.id for r in rules]).alias("rule"), (utf16_length(m["m"]) + more).cast("int").alias("length"), m["line"].alias("line"), (m["column"] + begin).alias("column"),
+        of([r.severity for r in rules]).alias("severity"), of([r.fixable for r in rules]).alias("fixable"), of([r.summary for r in rules]).alias("summary"), of([r.cite for r in rules]).alias("cite"),
+        excerpt(text, m["start"] + begin, F.length(m["m"]) + more).alias("excerpt"),
+    )
 
 
 def find(df: DataFrame, style: Style, text: str = "text", into: str = "findings") -> DataFrame:
     """`df` with an array of findings per row, sorted by index and then rule."""
-    columns = df.columns
-    df, found = _located(df, [(r, text) for r in style.rules])
-    make = lambda r: lambda m: _finding(r, F.col(text), m)
-    each = [F.transform(k, make(r)) for k, r in zip(found, style.rules, strict=True)]
-    return df.select(*columns, F.array_sort(F.coalesce(F.concat(*each), F.array().cast(f"array<{FINDING}>"))).alias(into))
+    columns, rules = df.columns, list(style.rules)
+    df = _located(df, rules, text)
+    each = F.flatten(F.transform("__at", lambda j: F.transform(j["k"], lambda m: _finding(rules, F.col(text), j["i"], m))))
+    return df.select(*columns, F.array_sort(each).alias(into))
 
 
 def check(df: DataFrame, style: Style, text: str = "text") -> DataFrame:
@@ -90,8 +96,9 @@ def unfixable(findings: DataFrame) -> DataFrame:
 def rule_counts(df: DataFrame, style: Style, text: str = "text") -> DataFrame:
     """`df` with a map from rule id to number of findings, without positions or excerpts."""
     columns = df.columns
-    df, found = _located(df, [(r, text) for r in style.rules])
-    return df.select(*columns, F.map_from_arrays(F.array(*(F.lit(r.id) for r in style.rules)), F.array(*(F.size(k) for k in found))).alias("counts"))
+    df = _located(df, list(style.rules), text, whole=False)
+    n = lambda i: F.size(F.flatten(F.transform(F.filter("__at", lambda j: j["i"] == i), lambda j: j["k"])))
+    return df.select(*columns, F.map_from_arrays(F.array(*(F.lit(r.id) for r in style.rules)), F.array(*map(n, range(len(style.rules))))).alias("counts"))
 
 
 def normalized(text: Column, style: Style) -> Column:
@@ -149,7 +156,7 @@ def audit(df: DataFrame, style: Style, text: str = "text") -> DataFrame:
     df = normalize(df, style, last, "__again")
     left = {(e, i): F.coalesce(F.size(r.wrong(F.col(f"__s{i + 1}"))), F.lit(0)) for e, r in enumerate(rules) for i in range(e, len(rules))}
     df = df.withColumns({f"__w{e}_{i}": n for (e, i), n in left.items()})
-    df, found = _located(df, [(r, last) for r in rules])
+    df = _located(df, rules, last)
 
     none = F.lit(None).cast("string")
     sample = clipped(F.col("__s0"))
@@ -167,10 +174,10 @@ def audit(df: DataFrame, style: Style, text: str = "text") -> DataFrame:
             said = F.concat(back.cast("string"), F.lit(f" finding(s) it had already repaired are back after {later.id} ran"))
             out.append(violation(settled & (back > 0), "non-interference", rules[e].id, said, F.lit(later.id)))
     out.append(violation(F.col("__again") != F.col(last), "idempotence", "normalize", again))
-    for k, r in zip(found, rules, strict=True):
-        first = F.get(k, F.lit(0))
-        said = F.concat(F.lit("still reports at "), excerpt(F.col(last), first["start"], F.length(first["m"])), F.lit(" after normalize"))
-        out.append(violation(F.size(k) > 0, "conformance", r.id, said))
+    of = lambda i: F.get(F.flatten(F.transform(F.filter("__at", lambda j: j["i"] == i), lambda j: j["k"])), F.lit(0))
+    for i, r in enumerate(rules):
+        said = F.concat(F.lit("still reports at "), excerpt(F.col(last), of(i)["start"], F.length(of(i)["m"])), F.lit(" after normalize"))
+        out.append(violation(of(i).isNotNull(), "conformance", r.id, said))
     rows = df.select(*columns, F.posexplode(F.filter(F.array(*out), lambda v: v.isNotNull())).alias("ordinal", "v"))
     return rows.select(*columns, "ordinal", "v.property", "v.rule", "v.culprit", "v.sample", "v.detail")
 

@@ -362,8 +362,9 @@ SELECT *, CASE WHEN "double" > 0 AND verdict <> '“' THEN '“' WHEN single > 0
 
 def _minority_sql() -> str:
     lost = f"CASE WHEN {_widths('t', N)} > {_widths('t', W)} THEN {_q(W)} ELSE {_q(N)} END"
-    places = f"list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) = lost AND (substr(t, i - 1, 1) = '«' AND i > 1 OR substr(t, i + 1, 1) IN ('»', ';', '!', '?')))"
-    return f"WITH {_DOCS}, m AS (SELECT doc_id, t, {lost} AS lost FROM planted WHERE least({_widths('t', N)}, {_widths('t', W)}) > 0), p AS (SELECT doc_id, {places} AS at FROM m) SELECT doc_id, (list_min(at) - 1)::BIGINT AS first, len(at)::BIGINT AS n FROM p"
+    spots = ", ".join([f"nullif(strpos(t, '«' || lost), 0) + 1", *(f"nullif(strpos(t, lost || '{e}'), 0)" for e in "»;!?")])
+    n = f"least({_widths('t', N)}, {_widths('t', W)})"
+    return f"WITH {_DOCS}, m AS (SELECT doc_id, t, {n} AS n, {lost} AS lost FROM planted) SELECT doc_id, (least({spots}) - 1)::BIGINT AS first, n::BIGINT AS n FROM m WHERE n > 0"
 
 
 def _report_sql() -> str:
