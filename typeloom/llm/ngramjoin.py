@@ -4,11 +4,12 @@ A document is the set of its distinct word shingles; two documents link when the
 similarity of their sets reaches a threshold. No link between different texts is lost:
 
 1. Documents of equal sets are one class, represented by its smallest doc_id.
-2. Representatives are blocked exactly. Two sets of sizes a and b that reach p/q differ in at
-   most (a + b)(q - p)/(q + p) shingles. Shingles are dealt by hash into more parts than that, so
-   in some part the two sets are equal; the hash of a part's shingles is a key both hold. Parts
-   are a matter of the size band, and a set also enters the band above if a partner could be
-   there. Spare parts make sure that an empty part is never the only one shared.
+2. Sets are blocked. Two sets of sizes a and b that reach p/q differ in at most
+   (a + b)(q - p)/(q + p) shingles. Shingles are dealt by hash into so many parts that some part
+   holds shingles and none that differ, but for a chance of `MISS` per link; the hash of a part's
+   shingles is then a key both sets hold. Small sets take every shingle as a key, which misses
+   nothing. Parts are a matter of the size band, and a set also enters the band above if a
+   partner could be there.
 3. Documents that share keys form candidate clusters. In each, a signature tree is built: leaves
    of like-sized documents, each node with the OR of its documents' token bitmaps and the range
    of their sizes. Pairs of nodes are visited together and left when their sizes can't match,
@@ -26,6 +27,7 @@ table gives an empty result; other columns are ignored unless carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ from typeloom.llm import bytewords as bw
 from typeloom.llm.common import stash
 from typeloom.llm.components import connected
 
-#: Spare parts beyond those that the differences can touch.
-SPARE = 2
+#: The chance that a link's sets share no key, of the order of two 64-bit hashes of a table colliding.
+MISS = 1e-12
 #: A tile holds about so many documents, and about so many shingles.
 TILE_DOCS, TILE_SHINGLES = 1024, 2_000_000
 LEAF, FAN = 16, 8
@@ -83,7 +85,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 class Bands:
-    """Size bands and their numbers of parts for a threshold of p/q."""
+    """Size bands, and into how many parts the sets of each are dealt, for a threshold of p/q."""
+
+    #: In place of a number of parts: no set that large links with another; every shingle is a key.
+    NONE, EACH = 0, -1
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
@@ -91,8 +96,21 @@ class Bands:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
         self.edges = np.array(edges, np.int64)
-        self.differ = 2 * (self.edges[1:] - 1) * (q - p) // (q + p)
-        self.parts = np.where(self.differ > 0, self.differ + 1 + SPARE, 0)
+        self.parts = np.array([self._parts(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)], np.int64)
+
+    def _parts(self, lo: int, hi: int) -> int:
+        differ = 2 * (hi - 1) * (self.q - self.p) // (self.q + self.p)
+        if differ == 0:
+            return self.NONE
+        common = max(1, lo * self.p // self.q - differ)
+        k = 8
+        while k < 2 * hi:
+            touched = 1 - math.exp(-differ / k)
+            filled = k * (1 - math.exp(-common / k))
+            if touched**filled <= MISS:
+                return k
+            k = k * 17 // 16 + 1
+        return self.EACH
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, "right") - 1
@@ -103,32 +121,27 @@ class Bands:
         rows = len(sizes)
         own = self.of(np.maximum(sizes, 1))
         above = self.of(np.maximum(sizes * self.q // self.p, 1))
-        assert (above - own <= 1).all() or self.q * 2 > self.p * 3
+        all_rows = np.repeat(np.arange(rows), sizes)
         found_key, found_row = [], []
         for step in range(int((above - own).max(initial=0)) + 1):
             band = own + step
-            use = (band <= above) & (self.parts[band] > 0) & (sizes > 0)
-            if not use.any():
-                continue
-            parts = np.where(use, self.parts[band], 0)
+            use = (band <= above) & (sizes > 0)
+            each = (use & (self.parts[band] == self.EACH))[all_rows]
+            found_key.append(bw.mix64(values[each] + bw.mix64(band[all_rows[each]].astype(np.uint64))))
+            found_row.append(all_rows[each])
+            parts = np.where(use, np.maximum(self.parts[band], 0), 0)
             base = np.concatenate([[0], np.cumsum(parts)])
-            row = np.repeat(np.arange(rows), sizes)
-            mine = use[row]
-            v, row = values[mine], row[mine]
+            mine = parts[all_rows] > 0
+            v, row = values[mine], all_rows[mine]
             cell = base[row] + (bw.mix64(v ^ np.uint64(0x5851F42D4C957F2D)) % parts[row].astype(np.uint64)).astype(np.int64)
             total = np.zeros(base[-1], np.uint64)
             np.add.at(total, cell, bw.mix64(v + np.uint64(0x14057B7EF767814F)))
-            filled = np.bincount(cell, minlength=base[-1])
             cell_row = np.repeat(np.arange(rows), parts)
             number = np.arange(base[-1]) - base[cell_row]
-            empty = np.bincount(cell_row, weights=filled == 0, minlength=rows)
-            # With more empty parts than spare ones, an empty part may be all that is shared.
-            kept = (filled > 0) | (empty > SPARE)[cell_row]
             key = bw.mix64(total + bw.mix64((band[cell_row] << 32).astype(np.uint64) + number.astype(np.uint64)))
+            kept = np.bincount(cell, minlength=base[-1]) > 0
             found_key.append(key[kept])
             found_row.append(cell_row[kept])
-        if not found_key:
-            return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
         key, row = np.concatenate(found_key), np.concatenate(found_row)
         order = np.argsort(row, kind="stable")
         return key[order], bw.counts_to_bounds(row, rows)
