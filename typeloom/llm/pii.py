@@ -18,6 +18,7 @@ an empty table gives an empty result; other columns are ignored unless carried.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,15 +53,22 @@ LEFT, RIGHT = 24, 8
 LABELERS = ("strict", "gazetteer", "context", "against", "touching")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once; named in a lambda, a column would be worked out at every call."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def prefix_sums(a: Column, block: int = 64) -> Column:
     """For each entry of an array of numbers, the sum of those before it; near linear in its length."""
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.aggregate(F.slice(a, b * block + 1, block), F.lit(0), lambda x, y: x + y))
-    starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size(a) - 1),
-        lambda i: F.get(starts, F.floor(i / block).cast("int")) + F.aggregate(F.slice(a, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), lambda x, y: x + y),
-    )
-    return F.when(F.size(a) > 0, each).otherwise(F.array().cast("array<int>"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)
+    part = lambda i: F.floor(i / block).cast("int")
+
+    def over(a: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, block)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return let(starts, lambda starts: F.transform(a, lambda _, i: F.get(starts, part(i)) + total(F.slice(a, part(i) * block + 1, i % block))))
+
+    return let(a, over)
 
 
 def luhn(digits: Column) -> Column:
@@ -104,16 +112,16 @@ _NO_SPANS = "array<struct<start:int,end:int,m:string,left:string,right:string,ki
 def _spans(text: Column, m: Column, gaps: Column, kind: str, strict: bool) -> Column:
     """Matches with their offsets in code points and what stands on either side."""
     steps = F.zip_with(gaps, m, lambda g, x: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(x), F.lit(0)))
-    before = prefix_sums(steps)
 
-    def span(x: Column, i: Column) -> Column:
+    def span(x: Column, i: Column, before: Column) -> Column:
         start = F.get(before, i) + F.length(F.get(gaps, i))
         return F.struct(
             start.alias("start"), (start + F.length(x)).alias("end"), x.alias("m"), F.substring(F.get(gaps, i), -LEFT, LEFT).alias("left"), F.substring(F.get(gaps, i + 1), 1, RIGHT).alias("right"),
             F.lit(KINDS.index(kind)).alias("kind"), F.lit(strict).alias("strict"),
         )
 
-    return F.when(F.size(m) > 0, F.filter(F.transform(m, span), lambda s: passes(kind, s["m"]) if strict else F.lit(True))).otherwise(F.array().cast(_NO_SPANS))
+    placed = let(prefix_sums(steps), lambda before: F.transform(m, lambda x, i: span(x, i, before)))
+    return F.when(F.size(m) > 0, F.filter(placed, lambda s: passes(kind, s["m"]) if strict else F.lit(True))).otherwise(F.array().cast(_NO_SPANS))
 
 
 def candidates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
