@@ -19,13 +19,22 @@ def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once; named in a lambda, a column would be worked out at every call."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def running(a: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
     """Inclusive running combination (of an associative operation) of an array, in two levels."""
     part = lambda i: F.floor(i / block).cast("int")
     fold = lambda x: F.aggregate(x, zero, combine)
-    totals = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: fold(F.slice(a, b * block + 1, block)))
-    before = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
-    return F.transform(a, lambda _, i: combine(F.get(before, part(i)), fold(F.slice(a, part(i) * block + 1, i % block + 1))))
+
+    def over(a: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: fold(F.slice(a, b * block + 1, block)))
+        before = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+        return let(before, lambda before: F.transform(a, lambda _, i: combine(F.get(before, part(i)), fold(F.slice(a, part(i) * block + 1, i % block + 1)))))
+
+    return let(a, over)
 
 
 def positioned(m: Column, gaps: Column) -> Column:
