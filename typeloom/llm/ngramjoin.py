@@ -317,11 +317,16 @@ def _sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
 
 
-def _verified_edges(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Spanning edges (a, b) of the links among `members` (cluster, doc_id, n_shingles, shingles)."""
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
+def _tiled(chosen: DataFrame) -> DataFrame:
+    """`chosen` (doc_id, cluster, n_shingles) with the number of its cluster's tiles, and its own; told before any set is moved."""
+    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
     tiles = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("tokens") / TILE_SHINGLES)).cast("int")
-    dealt = members.join(size.select("cluster", tiles.alias("tiles")), "cluster").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    joined = chosen.join(size.select("cluster", tiles.alias("tiles")), "cluster")
+    return joined.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).select("doc_id", "cluster", "tiles", "tile")
+
+
+def _verified_edges(dealt: DataFrame, p: int, q: int) -> DataFrame:
+    """Spanning edges (a, b) of the links among `dealt` (cluster, tiles, tile, doc_id, shingles)."""
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     paired = dealt.select("cluster", "doc_id", "shingles", "tile", other).select("cluster", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "doc_id", "shingles")
     sorted_ = paired.repartition("cluster", "t1", "t2").sortWithinPartitions("cluster", "t1", "t2", "doc_id")
@@ -366,10 +371,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -
     classes = stash(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
     classed = some.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"])
     clusters = connected(_candidate_edges(some.select("d1", "keys"))).withColumnRenamed("component", "cluster")
-    chosen = stash(classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("doc_id"), "cluster").distinct(), "join-clusters")
+    chosen = classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("doc_id"), "cluster", "n_shingles")
+    chosen = stash(_tiled(chosen.groupBy("doc_id", "cluster").agg(F.max("n_shingles").alias("n_shingles"))), "join-clusters")
 
     found = _sets(docs, n, Members(chosen, "doc_id")).where("n_shingles > 0").join(chosen, "doc_id")
-    members = stash(found.dropDuplicates(["doc_id", "shingles"]), "join-members")
+    members = found.dropDuplicates(["cluster", "doc_id", "shingles"])
     links = connected(_verified_edges(members, p, q))
 
     out = classed.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
