@@ -35,6 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rounds of the multiplicative weights, and how fast prices fall.
 ROUNDS, RATE = 160, 4.0
+#: Powers of a length in its first price; the program is solved from each. Above 1, long pieces go first.
+POWERS = (1.0, 1.05)
 #: Pieces aimed at in one numbering bucket of one length.
 BUCKET_PIECES = 50_000
 
@@ -93,7 +95,7 @@ def price_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -
     return counts
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = 1.0, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often each is used: an approximate solution of the covering program."""
     covered = np.zeros(len(lengths))
     used: dict[bytes, list] = {}
@@ -101,7 +103,7 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     for _ in range(rounds):
         share = covered / demand
         # Worth a share of the sequence as long as it is uncovered; exponentially less as it is covered.
-        price = np.where(share < 1, lengths / capacity * np.exp(-rate * share), 0.0)
+        price = np.where(share < 1, (lengths / capacity) ** power * np.exp(-rate * share), 0.0)
         if not price.any():
             break
         c = price_configuration(lengths, price, capacity)
@@ -152,11 +154,16 @@ class Plan:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan of the fewest sequences among those that the program gives from its first prices."""
+    return min((_plan(histogram, capacity, power) for power in POWERS), key=lambda p: p.sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, power: float) -> Plan:
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(x)] for x in lengths], np.int64)
     chosen: list[tuple[np.ndarray, int]] = []
     if len(lengths):
-        for c, x in sorted(solve_configurations(lengths, left.astype(float), capacity), key=lambda p: -p[1]):
+        for c, x in sorted(solve_configurations(lengths, left.astype(float), capacity, power), key=lambda p: -p[1]):
             held = c > 0
             times = min(math.floor(x + 1e-9), int((left[held] // c[held]).min()))
             if times:
