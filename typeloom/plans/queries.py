@@ -31,7 +31,7 @@ CARRIERS = (
     "What ! Why ? So ; thus : end",
     f"Odd{N}! and wide{W}? and a/b ! and -x : done",
     'He said "no" and "yes".',
-    "Er sagte „ Wort“ und » Wort « dann «Wort» und «Wort».",
+    "Er sagte „ Wort“ und » Wort « dann »Wort« und «Wort».",
     "Das war's : er ging » weiter« und kam ;",
     f"Elle a dit «{N}mot{N}» puis «{W}mot{W}» et « mot » et «mot».",
     f"Quoi ! Non{THIN}? Si{N}; oui{W}! voilà : fin  !",
