@@ -41,6 +41,8 @@ from typeloom.llm.components import connected
 
 #: The chance that a link's sets share no key, of the order of two 64-bit hashes of a table colliding.
 MISS = 1e-12
+#: Parts beyond those that the differences can touch, where parts are seldom empty.
+SPARE = 2
 #: A tile holds about so many documents, and about so many shingles.
 TILE_DOCS, TILE_SHINGLES = 1024, 2_000_000
 LEAF, FAN = 16, 8
@@ -96,21 +98,27 @@ class Bands:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
         self.edges = np.array(edges, np.int64)
-        self.parts = np.array([self._parts(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)], np.int64)
+        parts = [self._parts(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+        self.parts = np.array([k for k, _ in parts], np.int64)
+        #: Bands in which the parts outnumber the differences, so that no link is missed at all.
+        self.sure = np.array([sure for _, sure in parts])
 
-    def _parts(self, lo: int, hi: int) -> int:
+    def _parts(self, lo: int, hi: int) -> tuple[int, bool]:
         differ = 2 * (hi - 1) * (self.q - self.p) // (self.q + self.p)
         if differ == 0:
-            return self.NONE
+            return self.NONE, False
         common = max(1, lo * self.p // self.q - differ)
+        k = differ + 1 + SPARE
+        if k * math.exp(-(lo * self.p // self.q) / k) <= 0.5:  # parts are seldom empty
+            return k, True
         k = 8
         while k < 2 * hi:
             touched = 1 - math.exp(-differ / k)
             filled = k * (1 - math.exp(-common / k))
             if touched**filled <= MISS:
-                return k
+                return k, False
             k = k * 17 // 16 + 1
-        return self.EACH
+        return self.EACH, False
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, "right") - 1
@@ -140,6 +148,9 @@ class Bands:
             number = np.arange(base[-1]) - base[cell_row]
             key = bw.mix64(total + bw.mix64((band[cell_row] << 32).astype(np.uint64) + number.astype(np.uint64)))
             kept = np.bincount(cell, minlength=base[-1]) > 0
+            # With more empty parts than spare ones, an empty part may be all that two sets share.
+            empty = np.bincount(cell_row, weights=~kept, minlength=rows)
+            kept |= ((empty > SPARE) & self.sure[band])[cell_row]
             found_key.append(key[kept])
             found_row.append(cell_row[kept])
         key, row = np.concatenate(found_key), np.concatenate(found_row)
