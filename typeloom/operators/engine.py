@@ -101,20 +101,12 @@ def rule_counts(df: DataFrame, style: Style, text: str = "text") -> DataFrame:
     return df.select(*columns, F.map_from_arrays(F.array(*(F.lit(r.id) for r in style.rules)), F.array(*map(n, range(len(style.rules))))).alias("counts"))
 
 
-def normalized(text: Column, style: Style) -> Column:
-    """The style's fixes as one expression; fine for rules with literal repairs."""
-    return reduce(lambda t, r: r.fix(t), [r for r in style.rules if r.fixable], text)
-
-
 def normalize(df: DataFrame, style: Style, text: str = "text", into: str | None = None) -> DataFrame:
-    """`df` with `text` (or a new column `into`) fixed. A rule that reads the text it repairs is a stage of its own."""
-    into = into or text
-    state = F.col(text)
+    """`df` with `text` (or a new column `into`) fixed. Each rule is a stage of its own, since it names its text more than once."""
+    into, state = into or text, text
     for rule in (r for r in style.rules if r.fixable):
-        if rule.spelling.ballot is not None:
-            df, state = df.withColumn(into, state), F.col(into)
-        state = rule.fix(state)
-    return df.withColumn(into, state)
+        df, state = df.withColumn(into, rule.fix(F.col(state))), into
+    return df if state == into else df.withColumn(into, F.col(text))
 
 
 def changed(df: DataFrame, style: Style, text: str = "text") -> DataFrame:

@@ -134,17 +134,6 @@ def minority_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.check(planted(spark, sf_dir).select("doc_id", "text"), mixed).groupBy("doc_id").agg(F.min("index").cast("long").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def after_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of fixable rules that are left after normalizing: none, in any style."""
-    out = None
-    for style in STYLES:
-        fixable = compose(style.name, style.standard, [r for r in style.rules if r.fixable])
-        fixed = engine.normalize(planted(spark, sf_dir).select("text"), style)
-        one = engine.rule_counts(fixed, fixable).select(F.explode("counts").alias("rule", "n")).groupBy().agg(F.sum("n").cast("long").alias("left_over")).select(F.lit(style.name).alias("style"), "left_over")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def file_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested report per document: whether German (DE) fixing changes it, and how many findings it has."""
     style = next(s for s in STYLES if s.name == "de-DE")
@@ -155,11 +144,6 @@ def file_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 PING_PONG = compose("ping-pong", "ours", [replace_rule("to-b", "a to b", "ours", "a", "b", triggers=("a",)), replace_rule("to-a", "b to a", "ours", "b", "a", triggers=("b",)), replace_rule("double", "c doubled", "ours", "c", "cc", triggers=("c",))])
 
 
-def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A style that breaks every promise, over all documents: violations by property and rule."""
-    return engine.audit(planted(spark, sf_dir).select("doc_id", "text"), PING_PONG).groupBy("property", "rule", "culprit").agg(F.count(F.lit(1)).alias("n"))
-
-
 def style_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.catalog(spark, (*STYLES, with_width(NO_BREAK), with_width(NARROW_NO_BREAK)))
 
@@ -396,9 +380,7 @@ QUERIES: dict[str, Query] = {
     "width_survey_by_source": partial(width_survey, ("source",)),
     "quote_system_verdict": quote_system_verdict,
     "minority_positions": minority_positions,
-    "after_normalize": after_normalize,
     "file_report_nested": file_report_nested,
-    "audit_violations": audit_violations,
     "style_catalog": style_catalog,
     "derive_drop_replace_add": derive_drop_replace_add,
 }
@@ -421,7 +403,6 @@ SELECT page_id, (i - 1)::BIGINT AS "index", (length(before) - length(replace(bef
     "width_survey_by_source": _survey_sql("source"),
     "quote_system_verdict": _quotes_sql(),
     "minority_positions": _minority_sql(),
-    "after_normalize": " UNION ALL ".join(f"SELECT '{s.name}' AS style, 0::BIGINT AS left_over" for s in STYLES),
     "file_report_nested": _report_sql(),
     "derive_drop_replace_add": _counted_sql(_house(), _HOUSE),
 }
