@@ -285,6 +285,18 @@ def test_buckets_are_pruned_both_ways():
         assert s.c[s.q == i].tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("short", [(5, 9), (0, 0)])
+def test_top_k_of_a_query_that_points_against_a_tight_cluster(spark, short):
+    v = [(100, 0), (100, 1), (-100, 0), *((100, y) for y in range(-10, 10)), *[short] * 20]
+    df = spark.createDataFrame([(i, [float(x), float(y)]) for i, (x, y) in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") < 3, scale=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(3):
+        best = sorted((-(v[q][0] * x + v[q][1] * y), i) for i, (x, y) in enumerate(v) if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
 # -- quality rules
 
 

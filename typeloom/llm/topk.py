@@ -3,10 +3,11 @@
 Vectors become integers (floor of a scale times each component) and are grouped by length into
 buckets: blocks of a range partitioning by length, longest first. Every query starts from a
 lower bound of its k-th score, which the longest vectors give. At a bucket that bound over the
-query's and the bucket's largest length is a local cosine threshold: above 1 the bucket is left
-out; if it is high, candidates are pruned by single coordinates (a vector within the threshold's
-angle of the query can't be far from it in the query's largest coordinates); else by their own
-length. What is left is verified by exact integer products.
+query's and the bucket's largest length (its smallest, if the bound is negative) is a local cosine
+threshold: above 1 the bucket is left out; if it is high, candidates are pruned by single
+coordinates (a vector within the threshold's angle of the query can't be far from it in the
+query's largest coordinates); else by their own length. What is left is verified by exact integer
+products.
 
 Queries are a stated set against all rows, in blocks. Groups of query blocks meet groups of
 bucket blocks by an equi-join key, a task each, and hand on at most k rows a query.
@@ -104,7 +105,8 @@ class Searcher:
         norm = np.sqrt((mat * mat).sum(1))
         order = np.argsort(-norm, kind="stable")
         ids, mat, norm = ids[order], mat[order], norm[order]
-        reach = self.norm * norm[0]
+        # What no vector's cosine may fall below: a negative bound asks least of the shortest.
+        reach = self.norm * np.where(self.bound < 0, norm[-1], norm[0])
         with np.errstate(divide="ignore", invalid="ignore"):
             local = np.where(reach > 0, self.bound / reach, np.where(self.bound > 0, np.inf, -np.inf))
         live = np.flatnonzero(local <= 1 + 1e-9)
