@@ -139,6 +139,17 @@ def test_plan_places_every_piece_once():
     assert max(used.values()) <= 2 and plan.sequences <= sum(t for _, t in packing.best_fit(np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)]), 4096))
 
 
+def test_program_covers_all_pieces():
+    rng = np.random.default_rng(14)
+    for low, high in ((1400, 1700), (1, 4097)):
+        lengths = np.unique(rng.integers(low, high, 400))
+        demand = rng.integers(1, 4, len(lengths))
+        *between, (program, rest) = packing.solve_configurations(lengths, demand, 4096)
+        assert between and rest == []
+        for used in (program, *(a[: k * packing.ROUNDS] + b for k, (a, b) in enumerate(between, 1))):
+            assert (sum(n * c for c, n in used) == demand).all() and all((c * lengths).sum() <= 4096 for c, _ in used)
+
+
 # -- n-gram join
 
 

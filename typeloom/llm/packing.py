@@ -2,10 +2,12 @@
 
 Documents become token ids, longer ones are cut, and only the histogram of piece lengths (at
 most `capacity` entries) reaches the driver. There a configuration is a multiset of lengths
-that fits a sequence. The fractional program (fewest sequences that hold all pieces) is solved
-by multiplicative weights: a length's price falls as it is covered, and a knapsack dynamic
-program finds the configuration of the highest price. The solution is rounded down, and what
-it leaves is filled by best fit, still on counts of lengths and never on single pieces.
+that fits a sequence, none more often than its pieces are left. The program (fewest sequences
+that hold all pieces) is solved by multiplicative weights: a length's price falls as it is
+covered, and a knapsack dynamic program finds the configuration of the highest price, which is
+used a whole number of times. It ends when all pieces are covered. Every `ROUNDS` rounds what is
+left is also filled by best fit, still on counts of lengths and never on single pieces: if that
+makes tokens / capacity sequences, rounded up, no plan has fewer, and it is the plan.
 
 Pieces then look up their place. The pieces of one length are numbered in parallel (within
 hash buckets, whose counts are summed first), so that a hot length isn't one task, and a number
@@ -21,6 +23,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from typeloom.llm.wordbpe import WordBpe
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of the multiplicative weights, and how fast prices fall.
+#: Rounds of the multiplicative weights between two tests of the gap, and how fast prices fall.
 ROUNDS, RATE = 160, 4.0
 #: Powers of a length in its first price; the program is solved from each. Above 1, long pieces go first.
 POWERS = (1.0, 1.05)
@@ -72,52 +75,54 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the configuration of the highest total price: an unbounded knapsack program."""
+def price_configuration(lengths: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts per length of the configuration of the highest total price, none above `left`: a bounded knapsack program."""
     best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for room in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        worth = best[room - lengths[:n]] + price[:n]
-        k = int(worth.argmax())
-        best[room], last[room] = worth[k], k
-        if best[room - 1] > best[room]:
-            best[room], last[room] = best[room - 1], -1
+    taken = []
+    for k in np.flatnonzero(left).tolist():
+        length, copies, n = int(lengths[k]), min(int(left[k]), capacity // int(lengths[k])), 1
+        # 1, 2, 4 and so on of a length, and what remains: any number is a sum of some of them.
+        while copies:
+            n = min(n, copies)
+            room = n * length
+            worth = best[:-room] + n * price[k]
+            better = worth > best[room:]
+            np.copyto(best[room:], worth, where=better)
+            taken.append((k, n, room, better))
+            copies, n = copies - n, 2 * n
     counts = np.zeros(len(lengths), np.int64)
-    room = capacity
-    while room >= lengths[0]:
-        k = last[room]
-        if k < 0:
-            room -= 1
-            continue
-        counts[k] += 1
-        room -= int(lengths[k])
+    free = capacity
+    for k, n, room, better in reversed(taken):
+        if room <= free and better[free - room]:
+            counts[k] += n
+            free -= room
     return counts
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = 1.0, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used: an approximate solution of the covering program."""
-    covered = np.zeros(len(lengths))
-    used: dict[bytes, list] = {}
-    total = float((lengths * demand).sum()) / capacity
-    for _ in range(rounds):
-        share = covered / demand
-        # Worth a share of the sequence as long as it is uncovered; exponentially less as it is covered.
-        price = np.where(share < 1, (lengths / capacity) ** power * np.exp(-rate * share), 0.0)
-        if not price.any():
-            break
-        c = price_configuration(lengths, price, capacity)
+Used = list[tuple[np.ndarray, int]]
+
+
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = 1.0, rounds: int = ROUNDS, rate: float = RATE) -> Iterator[tuple[Used, Used]]:
+    """Configurations and how often each is used: those of the program so far and best fit's of the rest, each `rounds` rounds; at last the program's alone."""
+    chosen: Used = []
+    left = demand.copy()
+    most = max(1, fewest(lengths, demand, capacity) * 4 // rounds)
+    while left.any():
+        # Worth a share of the sequence while it is uncovered; exponentially less as it is covered.
+        price = (lengths / capacity) ** power * np.exp(-rate * (1 - left / demand))
+        c = price_configuration(lengths, price, left, capacity)
         held = c > 0
-        # A step covers no length by more than what is missing of it.
-        step = min(float(((demand - covered)[held] / c[held]).min()), total / rounds * 4)
-        if step < 1:
-            # Less than one sequence: the length that is missing least leaves the program.
-            tight = np.flatnonzero(held)[((demand - covered)[held] / c[held]).argmin()]
-            covered[tight] = demand[tight]
-            continue
-        covered += step * c
-        used.setdefault(c.tobytes(), [c, 0.0])[1] += step
-    return [(c, x) for c, x in used.values()]
+        times = min(int((left[held] // c[held]).min()), most)
+        chosen.append((c, times))
+        left -= times * c
+        if len(chosen) % rounds == 0 and left.any():
+            yield chosen, best_fit(lengths, left, capacity)
+    yield chosen, []
+
+
+def fewest(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> int:
+    """A bound that no plan is below: all tokens in full sequences."""
+    return -(-int((lengths * demand).sum()) // capacity)
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -154,22 +159,20 @@ class Plan:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan of the fewest sequences among those that the program gives from its first prices."""
-    return min((_plan(histogram, capacity, power) for power in POWERS), key=lambda p: p.sequences)
-
-
-def _plan(histogram: dict[int, int], capacity: int, power: float) -> Plan:
+    """The plan of the fewest sequences. The programs from the first prices run in turns until one reaches the bound or all have ended."""
     lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-    chosen: list[tuple[np.ndarray, int]] = []
-    if len(lengths):
-        for c, x in sorted(solve_configurations(lengths, left.astype(float), capacity, power), key=lambda p: -p[1]):
-            held = c > 0
-            times = min(math.floor(x + 1e-9), int((left[held] // c[held]).min()))
-            if times:
-                chosen.append((c, times))
-                left -= times * c
-        chosen += best_fit(lengths, left, capacity)
+    demand = np.array([histogram[int(x)] for x in lengths], np.int64)
+    plans: list[Used] = []
+    for turn in zip_longest(*(solve_configurations(lengths, demand, capacity, power) for power in POWERS)):
+        for program, rest in filter(None, turn):
+            plans.append(program + rest)
+            if sum(n for _, n in plans[-1]) == fewest(lengths, demand, capacity):
+                return _plan(lengths, plans[-1])
+    plans.append(best_fit(lengths, demand, capacity))
+    return _plan(lengths, min(plans, key=lambda used: sum(n for _, n in used)))
+
+
+def _plan(lengths: np.ndarray, chosen: Used) -> Plan:
     rows, given, base = [], np.zeros(len(lengths), np.int64), 0
     for c, times in chosen:
         offset = 0
