@@ -44,7 +44,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
-#: The rules of the contract, and patterns of our own that the given pages don't meet.
+#: The four host rules of the contract, and no others: a page that none of them fits is allowed.
 URL_RULES = [
     urlfilter.host_rule("block", "net/"),
     urlfilter.host_rule("allow", "example.net/en/"),
