@@ -388,6 +388,14 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.label_documents(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_plain_chains_come_from_all_languages():
+    of_line, rng = np.repeat(np.arange(4), 500), np.random.default_rng(15)
+    lines = langid.chain_lines(of_line, np.full(2000, 10), 10_000, rng)
+    plain = of_line[lines[len(lines) // 2 :]]
+    assert 990 <= len(lines) <= 1010 and len(set(lines.tolist())) == len(lines)
+    assert np.bincount(plain, minlength=4).min() >= 80 and (plain[1:] == plain[:-1]).mean() > 0.7
+
+
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(13)
     em, tr, st, begin = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.array([0, 3, 4])

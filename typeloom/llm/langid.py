@@ -9,7 +9,9 @@ words of a longer one. A text's language is the one of the highest mean probabil
 words; that mean is its score.
 
 Training takes a bounded sample: about `PER_LANG` documents a language, of at most
-`TRAIN_CHARS` characters each. A document's language labels its lines at first; a first fit of
+`TRAIN_CHARS` characters each. Of its words `TRAIN_WORDS`, drawn evenly, fit the emissions, and
+lines of about twice as many an epoch make the chains, half of them in runs of one language drawn
+evenly over the languages. A document's language labels its lines at first; a first fit of
 the emissions then moves lines that are plainly in another language, and training chains join
 lines of several languages. Every text is labelled whole.
 
@@ -33,6 +35,7 @@ from typeloom.llm.common import bounded_sample, fold_of
 
 PER_LANG = 300
 TRAIN_CHARS = 20_000
+#: Words of the sample that fit the emissions; chains take about twice as many an epoch.
 TRAIN_WORDS = 120_000
 #: (order, bits) of the n-gram tables; a table's buckets follow the one before.
 TABLES = ((2, 16), (3, 17))
@@ -226,12 +229,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> LanguageModel:
 
     # Chains of one to four lines; every other one mixes languages as the lines come.
     for _ in range(EPOCHS):
-        mixed = rng.permutation(len(w.begin))
-        plain = mixed[np.argsort(of_line[mixed], kind="stable")]
-        half = len(mixed) // 2
-        lines = np.concatenate([mixed[:half], plain[half:]])
-        used = np.cumsum(size[lines])
-        lines = lines[: np.searchsorted(used, 2 * TRAIN_WORDS) + 1]
+        lines = chain_lines(of_line, size, 2 * TRAIN_WORDS, rng)
         cut = np.concatenate([[0], np.cumsum(rng.integers(1, 5, len(lines)))])
         cut = cut[cut < len(lines)]
         groups = [lines[a:b] for a, b in zip(cut, [*cut[1:], len(lines)], strict=True)]
@@ -263,6 +261,21 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> LanguageModel:
     return model
 
 
+def chain_lines(of_line: np.ndarray, size: np.ndarray, words: int, rng: np.random.Generator) -> np.ndarray:
+    """Lines of about `words` words at most: half as they come, half in runs of one language, shuffled before the cut."""
+    drawn = rng.permutation(len(of_line))
+    half = len(drawn) // 2
+    mixed, rest = drawn[:half], drawn[half:]
+    of_one = [rest[of_line[rest] == k] for k in np.unique(of_line[rest])]
+    runs = [run for x in of_one for run in np.split(x, range(4, len(x), 4))]
+    plain = np.concatenate([runs[i] for i in rng.permutation(len(runs)).tolist()]) if runs else rest
+
+    def upto(lines: np.ndarray, most: int) -> np.ndarray:
+        return lines[: np.searchsorted(np.cumsum(size[lines]), most) + 1]
+
+    return np.concatenate([upto(mixed, words // 2), upto(plain, words // 2)])
+
+
 def train(docs: DataFrame) -> LanguageModel:
     """Learn from documents with a language whose crc32(doc_id) mod 4 is not 2."""
     known = docs.where(F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2) & (F.length("text") <= TRAIN_CHARS))
