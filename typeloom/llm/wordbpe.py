@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public tokenizer of the word-end BPE kind, many words at once.
 
-The tokenizer file gives the vocabulary and the merges. Ordinary Latin text is cut into words
-whose ids are cached; unknown words are merged together in numpy, a merge of each per step,
-which gives what the tokenizers library gives for them at a fraction of its cost. A text with
-any other character (or with what could be a special token) goes to the library whole.
+The tokenizer file gives the vocabulary and the merges. Ordinary Latin text is cut into pieces
+over its bytes, and equal pieces are found by their hashes (64 bits; pieces have at most `LONG`
+bytes); no Python string is made per word. A table of `KNOWN` pieces at most keeps the ids of those
+met first; others are merged together in numpy, a merge of each per step, which gives what the
+tokenizers library gives for them at a fraction of its cost. A text with any other character (or
+with what could be a special token) goes to the library whole, and so does each longer piece.
 """
 
 from __future__ import annotations
@@ -14,16 +16,45 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Cached words of a worker at most.
-CACHE_WORDS = 400_000
+from typeloom.llm import bytewords as bw
+
+#: Pieces in a worker's table at most; it is kept when it is full.
+KNOWN = 600_000
 #: Longer pieces are left to the library, whose cost for them is not quadratic.
 LONG = 48
 
-_LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ſ"
 #: Characters of which normalisation, lower case and class are plain: ASCII, Latin-1 and Latin Extended-A, without dotted capital I, controls and compatibility digits and letters.
 _OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~¡-©«¬®-±´¶-¸»¿-įı-ſ]|<\|")
-#: Fixed value: how the tokenizer file cuts text, for the characters above in lower case.
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: Classes of bytes. Of the two-byte characters above, those of lead byte 0xC2 and two of 0xC3 are signs, the others letters.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[bw.SPACE] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[0xC3:0xC6] = _LETTER
+#: What the tokenizer file cuts off after an apostrophe that no sign stands before.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def piece_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a piece begins in lower-cased text, and the class of each byte: runs of letters, single digits, runs of signs, and the endings after an apostrophe."""
+    kind = _CLASS[data]
+    later = (data & 0xC0) == 0x80
+    kind[1:][later[1:]] = kind[:-1][later[1:]]
+    sign = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    kind[sign] = kind[sign + 1] = _SIGN
+    start = kind != _SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | ((kind[1:] == _DIGIT) & ~later[1:])
+    at = np.flatnonzero((data == 39) & start)
+    for ending in _ENDINGS:
+        n = len(ending)
+        hit = at[at + n < len(data)]
+        for k, letter in enumerate(ending.encode(), 1):
+            hit = hit[data[hit + k] == letter]
+        start[hit + 1] = False
+        after = hit[hit + n + 1 < len(data)] + n + 1
+        start[after[kind[after] == _LETTER]] = True
+    return np.flatnonzero(start), kind
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,7 +86,9 @@ class WordBpe:
                 slot = (slot + 1) & mask
             if self.table_key[slot] == -1:
                 self.table_key[slot], self.table_rank[slot] = key, rank
-        self.words: dict[str, bytes] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -73,11 +106,9 @@ class WordBpe:
             open_ = open_[~same & (found != -1)]
         return rank
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids (little-endian, 4 bytes each) of non-empty pieces of text."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        sym, word = self.first[raw], np.repeat(np.arange(len(pieces)), sizes)
+    def merge(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of non-empty pieces laid end to end in `raw`, and how many each piece has."""
+        sym, word = self.first[raw], np.repeat(np.arange(len(sizes)), sizes)
         ends = np.cumsum(sizes) - 1
         sym[ends] = self.last[raw[ends]]
         done_sym, done_word = [], []
@@ -100,38 +131,66 @@ class WordBpe:
             sym, word = sym[keep], word[keep]
         all_word = np.concatenate(done_word)
         order = np.argsort(all_word, kind="stable")
-        ids = np.concatenate(done_sym)[order].astype("<u4").tobytes()
-        stop = (np.cumsum(np.bincount(all_word, minlength=len(pieces))) * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *stop], stop, strict=False)]
-
-    def _learn(self, unknown: set[str]) -> None:
-        if len(self.words) + len(unknown) > CACHE_WORDS:
-            self.words = {}
-        whole, cut = [], []
-        for w in unknown:
-            (whole if w.isalpha() and len(w) <= LONG else cut).append(w)
-        parts = {w: _PIECE.findall(w) for w in cut}
-        short = list(dict.fromkeys([*whole, *(p for ps in parts.values() for p in ps if len(p) <= LONG)]))
-        ids = dict(zip(short, self.merge([p.encode() for p in short]), strict=True)) if short else {}
-        for w in whole:
-            self.words[w] = ids[w]
-        for w, ps in parts.items():
-            self.words[w] = b"".join(ids[p] if len(p) <= LONG else self._library(p) for p in ps)
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.concatenate(done_sym)[order].astype(np.uint32), np.bincount(all_word, minlength=len(sizes))
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _ids(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and how many each has."""
+        h, first, inverse = np.unique(bw.span_hashes(data, s, e), return_index=True, return_inverse=True)
+        s, e = s[first], e[first]
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+        begin, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        begin[old], count[old] = self.begin[at[old]], self.count[at[old]]
+        fresh = np.flatnonzero(~old & (e - s <= LONG))
+        pool, base = [self.pool], len(self.pool)
+        if len(fresh):
+            ids, n = self.merge(data[spread(s[fresh], e[fresh] - s[fresh])], e[fresh] - s[fresh])
+            begin[fresh], count[fresh] = base + np.cumsum(n) - n, n
+            pool.append(ids)
+            base += len(ids)
+            if len(self.known) + len(fresh) <= KNOWN:
+                place = np.searchsorted(self.known, h[fresh])
+                self.begin, self.count = np.insert(self.begin, place, begin[fresh]), np.insert(self.count, place, n)
+                self.known = np.insert(self.known, place, h[fresh])
+                self.pool = np.concatenate(pool)
+        for i in np.flatnonzero(~old & (e - s > LONG)).tolist():
+            ids = self._library(data[s[i] : e[i]].tobytes().decode())
+            begin[i], count[i] = base, len(ids)
+            pool.append(ids)
+            base += len(ids)
+        begin, count = begin[inverse], count[inverse]
+        return np.concatenate(pool)[spread(begin, count)], count
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        split = [None if t is None or _OTHER.search(t) else t.lower().split() for t in texts]
-        seen: set[str] = set()
-        for ws in split:
-            if ws:
-                seen.update(ws)
-        unknown = seen.difference(self.words)
-        if len(self.words) + len(unknown) > CACHE_WORDS:
-            unknown = seen
-        if unknown:
-            self._learn(unknown)
-        get = self.words.__getitem__
-        return [b"" if t is None else self._library(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
+        out = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and _OTHER.search(t):
+                out[i] = self._library(t).astype("<u4").tobytes()
+            elif t:
+                plain.append((i, t.lower().encode()))
+        if not plain:
+            return out
+        data = np.frombuffer(b" ".join(raw for _, raw in plain) + b" ", np.uint8)
+        s, kind = piece_starts(data)
+        if not len(s):
+            return out
+        # A piece ends where the next begins, or where space comes first.
+        gap = np.flatnonzero(kind == _SPACE)
+        e = np.minimum(np.append(s[1:], len(data)), gap[np.searchsorted(gap, s)])
+        ids, count = self._ids(data, s, e)
+        ends = np.cumsum([len(raw) + 1 for _, raw in plain])
+        stop = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(s, ends)]
+        ids = ids.astype("<u4")
+        for (i, _), a, b in zip(plain, [0, *stop[:-1].tolist()], stop.tolist(), strict=True):
+            out[i] = ids[a:b].tobytes()
+        return out
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... `count[0]` of them, and so on."""
+    return np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
