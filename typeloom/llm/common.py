@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests on one machine), a folder of our own."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own if all runs in this process, and an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"file://{_own_folder()}").rstrip("/")
 
 
@@ -41,12 +44,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     This cuts the lineage, computes `df` once however often it is read, and survives lost
-    executors since every executor reads the same files.
+    executors since every executor reads the same files. `discard` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of stashed tables that nothing reads any more."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_sample(keys: DataFrame, per_class: int, by: str) -> DataFrame:

@@ -1,53 +1,67 @@
 """N-gram Jaccard join with signature trees.
 
 A document is the set of its distinct word shingles; two documents link when the Jaccard
-similarity of their sets reaches a threshold. No link between different texts is lost:
-
-1. Documents of equal sets are one class, represented by its smallest doc_id.
-2. Sets are blocked. Two sets of sizes a and b that reach p/q differ in at most
-   (a + b)(q - p)/(q + p) shingles. Shingles are dealt by hash into so many parts that some part
-   holds shingles and none that differ, but for a chance of `MISS` per link; the hash of a part's
-   shingles is then a key both sets hold. Small sets take every shingle as a key, which misses
-   nothing. Parts are a matter of the size band, and a set also enters the band above if a
-   partner could be there.
-3. Documents that share keys form candidate clusters. In each, a signature tree is built: leaves
-   of like-sized documents, each node with the OR of its documents' token bitmaps and the range
-   of their sizes. Pairs of nodes are visited together and left when their sizes can't match,
-   when the bits they share bound the overlap below what a link needs, or when all their
-   documents are known to be connected. What is left is verified on the sets.
-4. A cluster beyond a tile's bound is cut by hash into tiles, and each pair of tiles is a task of
-   its own; a document travels once per tile of its cluster.
-
-Links inside one connected component beyond a spanning forest aren't listed.
+similarity of their sets reaches a threshold p/q. No link between different texts is lost:
+
+1. Documents of equal sets are one class.
+2. A set of n shingles shares at least p/q of them with a set that it links with. So, in any
+   order of all shingles, two sets that link share one of the first n - ceil(n p/q) + 1 of each,
+   and l of the first n - ceil(n p/q) + l: a prefix. Shingles that a bounded sample shows to be
+   very common come last in the order.
+   First the order is by hash, and a prefix of l = n / 10 is dealt out: a class of which fewer
+   than that many shingles are held by other classes is left out. Then the order, among what is left, is by
+   rarity, the number of classes that hold a shingle; each shingle of the shortest prefix that
+   several classes hold is a key. So a passage that many documents share makes no candidates of
+   them. Shingles are counted in buckets of bounded size, in the form of arrays; very common
+   ones don't enter the buckets. Sets aren't kept but worked out anew where they are needed;
+   only those that are left are written, once.
+3. Classes that share a prefix shingle, and whose sizes can match, form candidate clusters. In
+   each, a signature tree is built: leaves of like-sized documents, each node with the OR of its
+   documents' token bitmaps and the range of their sizes. Pairs of nodes are visited together
+   and left when their sizes can't match, when the bits they share bound the overlap below what
+   a link needs, or when all their documents are known to be connected. What is left is
+   verified on the sets.
+4. A cluster beyond a tile's bound is first held against a few of its own sets (`PIVOTS`), which
+   connects most near copies in linear time. Tiles are then cut by what is connected and by size
+   band, and only pairs of tiles that could hold a new link are tasks of their own.
+
+Links inside one connected component beyond a spanning forest aren't listed. Shingles and sets
+are told apart by 64-bit hashes.
 
 Defined results: a null text or one without words has an empty set and links with nothing; a
-null doc_id keeps its row and takes part in no link; repeated rows are equal sets; an empty
-table gives an empty result; other columns are ignored unless carried.
+null doc_id keeps its row and takes part in no link; repeated rows are equal sets; rows of one
+doc_id with different texts are different documents; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
-from typeloom.llm.common import stash
+from typeloom.llm.common import discard, stash
 from typeloom.llm.components import connected
 
-#: The chance that a link's sets share no key, of the order of two 64-bit hashes of a table colliding.
-MISS = 1e-12
-#: Parts beyond those that the differences can touch, where parts are seldom empty.
-SPARE = 2
 #: A tile holds about so many documents, and about so many shingles.
 TILE_DOCS, TILE_SHINGLES = 1024, 2_000_000
+#: Sets of a large cluster that all others of it are held against first.
+PIVOTS = 4
 LEAF, FAN = 16, 8
-#: Bits of the filter by which keys of three documents and more are found again: 8 MB, whatever the corpus.
-FILTER_BITS = 26
+#: Shingles in a counting bucket, and in what a task deals out at once.
+BUCKET, DEAL = 500_000, 500_000
+#: One in so many shingles is added to the prefix that leaves classes out.
+SPARE = 10
+#: Classes of the sample that tells very common shingles, and the share of it from which a shingle is one.
+SAMPLE, COMMON, LEAST = 20_000, 0.005, 16
+#: Digests by which a task knows sets that it has met, so that it hands on a set of many copies once.
+MET = 200_000
+#: The filter that spares most texts a second reading has so many bits for each set, up to a whole of 32 MB; what it lets through besides does no harm.
+FILTER_EACH, FILTER_BITS = 16, 28
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,138 +100,332 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return values[fresh], bw.counts_to_bounds(owner[fresh], rows)
 
 
-class Bands:
-    """Size bands, and into how many parts the sets of each are dealt, for a threshold of p/q."""
-
-    #: In place of a number of parts: no set that large links with another; every shingle is a key.
-    NONE, EACH = 0, -1
-
-    def __init__(self, p: int, q: int):
-        self.p, self.q = p, q
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-        self.edges = np.array(edges, np.int64)
-        parts = [self._parts(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
-        self.parts = np.array([k for k, _ in parts], np.int64)
-        #: Bands in which the parts outnumber the differences, so that no link is missed at all.
-        self.sure = np.array([sure for _, sure in parts])
-
-    def _parts(self, lo: int, hi: int) -> tuple[int, bool]:
-        differ = 2 * (hi - 1) * (self.q - self.p) // (self.q + self.p)
-        if differ == 0:
-            return self.NONE, False
-        common = max(1, lo * self.p // self.q - differ)
-        k = differ + 1 + SPARE
-        if k * math.exp(-(lo * self.p // self.q) / k) <= 0.5:  # parts are seldom empty
-            return k, True
-        k = 8
-        while k < 2 * hi:
-            touched = 1 - math.exp(-differ / k)
-            filled = k * (1 - math.exp(-common / k))
-            if touched**filled <= MISS:
-                return k, False
-            k = k * 17 // 16 + 1
-        return self.EACH, False
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, sizes, "right") - 1
-
-    def keys(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocking keys of all rows and the bounds of each row."""
-        sizes = np.diff(bounds)
-        rows = len(sizes)
-        own = self.of(np.maximum(sizes, 1))
-        above = self.of(np.maximum(sizes * self.q // self.p, 1))
-        all_rows = np.repeat(np.arange(rows), sizes)
-        found_key, found_row = [], []
-        for step in range(int((above - own).max(initial=0)) + 1):
-            band = own + step
-            use = (band <= above) & (sizes > 0)
-            each = (use & (self.parts[band] == self.EACH))[all_rows]
-            found_key.append(bw.mix64(values[each] + bw.mix64(band[all_rows[each]].astype(np.uint64))))
-            found_row.append(all_rows[each])
-            parts = np.where(use, np.maximum(self.parts[band], 0), 0)
-            base = np.concatenate([[0], np.cumsum(parts)])
-            mine = parts[all_rows] > 0
-            v, row = values[mine], all_rows[mine]
-            cell = base[row] + (bw.mix64(v ^ np.uint64(0x5851F42D4C957F2D)) % parts[row].astype(np.uint64)).astype(np.int64)
-            total = np.zeros(base[-1], np.uint64)
-            np.add.at(total, cell, bw.mix64(v + np.uint64(0x14057B7EF767814F)))
-            cell_row = np.repeat(np.arange(rows), parts)
-            number = np.arange(base[-1]) - base[cell_row]
-            key = bw.mix64(total + bw.mix64((band[cell_row] << 32).astype(np.uint64) + number.astype(np.uint64)))
-            kept = np.bincount(cell, minlength=base[-1]) > 0
-            # With more empty parts than spare ones, an empty part may be all that two sets share.
-            empty = np.bincount(cell_row, weights=~kept, minlength=rows)
-            kept |= ((empty > SPARE) & self.sure[band])[cell_row]
-            found_key.append(key[kept])
-            found_row.append(cell_row[kept])
-        key, row = np.concatenate(found_key), np.concatenate(found_row)
-        order = np.argsort(row, kind="stable")
-        return key[order], bw.counts_to_bounds(row, rows)
-
-
-def _describe(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and its blocking keys."""
+def _digest(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    running = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(bw.mix64(values ^ np.uint64(salt)), out=running[1:])
+    return (running[bounds[1:]] - running[bounds[:-1]]).view(np.int64)
+
+
+_SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
+
+
+def _describe(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, and two digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(p, q)
         for whole in batches:
             for b in bw.ranges(whole, budget=2 << 20):
                 values, bounds = shingle_sets(*bw.texts_of(b.column(1)), n)
-                keys, key_bounds = bands.keys(values, bounds)
-                digests = []
-                for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                    running = np.zeros(len(values) + 1, np.uint64)
-                    np.cumsum(bw.mix64(values ^ np.uint64(salt)), out=running[1:])
-                    digests.append(pa.array((running[bounds[1:]] - running[bounds[:-1]]).view(np.int64)))
-                lists = pa.ListArray.from_arrays(pa.array(key_bounds.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), *digests, lists], names=["doc_id", "n_shingles", "d1", "d2", "keys"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+                digests = [pa.array(_digest(values, bounds, salt)) for salt in _SALTS]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(bounds)), *digests], names=["doc_id", "text_key", "n_shingles", "d1", "d2"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return picked.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long")
+
+
+def _met_once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """d1 and size of sets that the task meets first, and their shingles laid end to end."""
+    met: set[int] = set()
+    for whole in batches:
+        for b in bw.ranges(whole, budget=2 << 20):
+            values, bounds = shingle_sets(*bw.texts_of(b.column(b.schema.get_field_index("text"))), n)
+            d1, size = _digest(values, bounds, _SALTS[0]), np.diff(bounds)
+            fresh = np.zeros(len(d1), bool)
+            for i, d in enumerate(d1.tolist()):
+                if size[i] and d not in met:
+                    fresh[i] = True
+                    met.add(d)
+            if len(met) > MET:
+                met.clear()
+            yield d1[fresh], size[fresh], values[np.repeat(fresh, size)]
 
 
 class Members:
-    """A bitmap of FILTER_BITS bits of hashed values: tells most non-members apart before anything is shuffled.
+    """A bitmap of hashed values: tells most non-members apart before anything is shuffled. `values` is a column of hashes."""
 
-    Its size is fixed whatever the corpus. It may let others pass, so a join follows.
-    """
-
-    def __init__(self, values: DataFrame, column: str):
-        slot = F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS).alias("slot")
+    def __init__(self, values: DataFrame, column: str, number: int):
+        self.bits = min(FILTER_BITS, max(16, int(FILTER_EACH * max(1, number) - 1).bit_length()))
+        slot = F.shiftrightunsigned(column, 64 - self.bits).alias("slot")
         pages = values.select(slot).groupBy(F.floor(F.col("slot") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("long")).alias("bits"))
-        filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        filled = np.zeros(1 << (self.bits - 3), np.uint8)
         for r in pages.toLocalIterator():
             filled[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
         self.table = values.sparkSession.sparkContext.broadcast(filled)
 
-    def slots(self, hashed: np.ndarray) -> np.ndarray:
-        """Which values may be members; `hashed` is their xxhash64."""
-        slot = hashed.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    def has(self, hashed: np.ndarray) -> np.ndarray:
+        slot = hashed.view(np.uint64) >> np.uint64(64 - self.bits)
         return (self.table.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidate_edges(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between the digests `d1` of sets, by which all sets that share a key are connected.
+# -- arrays dealt out to buckets, a row for each bucket
+
+
+_DEALT = "bucket int, kind int, x binary, y binary, z binary"
+
+
+def _blob(column: np.ndarray, starts: np.ndarray) -> pa.Array:
+    ends = np.append(starts, len(column)).astype(np.int64) * column.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(column))])
+
+
+def _row(kind: int, bucket: np.ndarray, *blobs: pa.Array) -> pa.RecordBatch:
+    blobs += (pa.nulls(len(bucket), pa.binary()),) * (3 - len(blobs))
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), kind, np.int32)), *blobs], names=["bucket", "kind", "x", "y", "z"])
+
+
+def _deal(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket met, with the bytes of each column's entries that belong there."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return _row(kind, bucket[order][cut], *(_blob(c[order], cut) for c in columns))
+
+
+def _deal_runs(kind: int, bucket: np.ndarray, values: np.ndarray, row: np.ndarray, d1: np.ndarray) -> pa.RecordBatch:
+    """As `_deal`, of values whose sorted `row` says whose they are: values, the d1 of each run of a row's values, and the runs' lengths."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, row = bucket[order], row[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    at = np.searchsorted(run, cut)
+    return _row(kind, bucket[cut], _blob(values[order], cut), _blob(d1[row[run]], at), _blob(np.diff(run, append=len(row)).astype(np.uint32), at))
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """Each bucket, and what was dealt to it: for each kind, the bytes of its columns."""
+    bucket, held = None, {}
+    for b in batches:
+        for k, kind, *blobs in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if k != bucket:
+                if held:
+                    yield bucket, {j: [b"".join(x) for x in cols] for j, cols in held.items()}
+                bucket, held = k, {}
+            for col, blob in zip(held.setdefault(kind, [[], [], []]), blobs, strict=True):
+                col.append(blob or b"")
+    if held:
+        yield bucket, {j: [b"".join(x) for x in cols] for j, cols in held.items()}
+
+
+def _handed_on(bucket: int, kind: int, columns: list[bytes]) -> pa.RecordBatch:
+    return _row(kind, np.array([bucket]), *(pa.array([x], pa.binary()) for x in columns))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _unrun(got: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values and their d1, in order of both."""
+    values = np.frombuffer(got[0], kind)
+    d1 = np.repeat(np.frombuffer(got[1], np.int64), np.frombuffer(got[2], np.uint32))
+    order = np.lexsort((d1, values))
+    return values[order], d1[order]
+
+
+def prefix_length(n: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Of how many shingles, in any common order, sets that link share one."""
+    return n - (p * n + q - 1) // q + 1
+
+
+def band_of(n: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Size bands: sets that link are in one band or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] <= int(n.max(initial=1)):
+        edges.append(max(edges[-1] + 1, edges[-1] * q // p + 1))
+    return np.searchsorted(np.array(edges, np.int64), n, "right") - 1
+
+
+class Common:
+    """Shingles that at least COMMON of a sample of SAMPLE texts hold, ranked by how many do.
 
-    The keys of all rows are only counted. Those that occur once, which are most, go no further:
-    a bitmap of the others leaves them out before anything else is shuffled.
+    Their number is at most 1 / COMMON times the sample's mean size. They only order shingles:
+    whatever the sample, no link is lost.
     """
-    often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    known = Members(often, "key")
+
+    def __init__(self, docs: DataFrame, n: int, rows: int):
+        every = max(1, rows // SAMPLE)
+        some = docs.where(F.pmod(F.xxhash64(F.lit(29), "text"), F.lit(every)) == 0).select("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, values in _met_once(batches, n):
+                t, often = np.unique(values.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(often)], names=["t", "n"])
+
+        counted = some.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+        ranked = sorted((r["n"], r["t"]) for r in counted.where(F.col("n") >= max(LEAST, int(COMMON * rows / every))).collect())
+        values = np.array([t for _, t in ranked], np.int64).view(np.uint64)
+        order = np.argsort(values)
+        self.table = docs.sparkSession.sparkContext.broadcast((values[order], order))
+
+    def rank(self, values: np.ndarray) -> np.ndarray:
+        """The rank of each value, -1 for others."""
+        known, rank = self.table.value
+        if not len(known):
+            return np.full(len(values), -1)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return np.where(known[at] == values, rank[at], -1)
+
+
+def _places(row: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its row; `row` is sorted."""
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
+def spare(n: np.ndarray) -> np.ndarray:
+    """How many shared shingles a set of size n looks for in its longer prefix."""
+    return n // SPARE + 1
+
+
+def _promising(docs: DataFrame, n: int, p: int, q: int, common: Common, buckets: int) -> DataFrame:
+    """d1 of classes that hold as many shingles of other classes as a link needs, told by longer prefixes in order of hash.
+
+    A partner's prefix is as long as its own size makes it: of a pair, the smaller set's number of shared
+    shingles is looked for. Shingles go by 32 bits within their bucket, which can only let more through.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d1, size, values in _met_once(batches, n):
+            if not len(d1):
+                continue
+            row = np.repeat(np.arange(len(d1)), size)
+            rare = common.rank(values) < 0
+            often = size - np.bincount(row[rare], minlength=len(d1))
+            yield _deal(1, _bucket(bw.mix64(d1.view(np.uint64)), buckets), d1, size, often)
+            row, values = row[rare], values[rare]
+            within = _places(row) < (prefix_length(size, p, q) - 1 + spare(size))[row]
+            row, values = row[within], values[within]
+            for at in range(0, len(row), DEAL):
+                part = slice(at, at + DEAL)
+                yield _deal_runs(0, _bucket(values[part], buckets), (bw.mix64(values[part]) >> np.uint64(32)).astype(np.uint32), row[part], d1)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, got in _gathered(batches):
+            if 1 in got:
+                yield _handed_on(bucket, 0, got[1])
+            if 0 in got:
+                values, d1 = _unrun(got[0], np.uint32)
+                first = np.flatnonzero(np.diff(values.astype(np.int64), prepend=-1))
+                last = np.append(first[1:], len(values)) - 1
+                held = np.repeat(d1[first] != d1[last], last - first + 1)
+                if held.any():
+                    whose, number = np.unique(d1[held], return_counts=True)
+                    yield _deal(1, _bucket(bw.mix64(whose.view(np.uint64)), buckets), whose, number)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _gathered(batches):
+            d1, first = np.unique(np.frombuffer(got[0][0], np.int64), return_index=True)
+            size, often = (np.frombuffer(x, np.int64)[first] for x in got[0][1:])
+            number = np.zeros(len(d1), np.int64)
+            if 1 in got:
+                np.add.at(number, np.searchsorted(d1, np.frombuffer(got[1][0], np.int64)), np.frombuffer(got[1][1], np.int64))
+            # Common ones that the prefix reaches count as held by others.
+            number += np.maximum(0, prefix_length(size, p, q) - 1 + spare(size) - (size - often))
+            yield pa.RecordBatch.from_arrays([pa.array(d1[number >= spare(-(-size * p // q))])], names=["d1"])
+
+    dealt = _dealt(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(prefixes, _DEALT))
+    return _dealt(dealt.mapInArrow(shared, _DEALT)).mapInArrow(enough, "d1 long")
+
+
+def _wanted_sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
+    """d1, n_shingles and `shingles` (the set's hashes as bytes) of texts that may be wanted; a task hands on equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.asarray(b.column(1).value_lengths().fill_null(0))
-            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
-            hit = known.slots(b.column(2).flatten().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), b.column(1).flatten().filter(pa.array(hit))], names=["d1", "key"])
+        kept = (b.filter(pa.array(wanted.has(b.column(1).to_numpy(zero_copy_only=False)))) for b in batches)
+        for d1, size, values in _met_once(kept, n):
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(size), _blob(values, bounds[:-1])], names=["d1", "n_shingles", "shingles"])
 
-    held = stash(sets.select("d1", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashed")).mapInArrow(run, "d1 long, key long"), "join-keys")
-    shared = held.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("key", "low")
-    return held.join(shared, "key").where("d1 <> low").select(F.col("low").alias("a"), F.col("d1").alias("b")).distinct()
+    return docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "d1 long, n_shingles long, shingles binary")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """d1 of rows (d1, shingles), their sizes, and their shingles laid end to end, about DEAL at a time."""
+    for b in batches:
+        raw = b.column(1).cast(pa.large_binary())
+        at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        if not len(raw):
+            continue
+        values = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64)
+        at = (at - at[0]) // 8
+        d1 = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(at[1:] // DEAL)) + 1).tolist(), len(d1)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield d1[i:j], np.diff(at[i : j + 1]), values[at[i] : at[j]]
+
+
+def _candidate_keys(sets: DataFrame, p: int, q: int, common: Common, buckets: int) -> DataFrame:
+    """(key, d1): sets that link share a key. A key is a prefix shingle that several classes hold, in a size band."""
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare shingles by shingle; sizes, numbers of common ones, and the common ones of prefixes that reach them, by class."""
+        for d1, size, values in _tokens(batches):
+            rank, row = common.rank(values), np.repeat(np.arange(len(d1)), size)
+            rare = rank < 0
+            if rare.any():
+                yield _deal_runs(0, _bucket(values[rare], buckets), values[rare], row[rare], d1)
+            often = np.bincount(row[~rare], minlength=len(d1))
+            to = _bucket(bw.mix64(d1.view(np.uint64)), buckets)
+            yield _deal(1, to, d1, size, often)
+            reach = prefix_length(size, p, q) - (size - often)
+            at = np.flatnonzero(~rare & (reach[row] > 0))
+            at = at[np.lexsort((rank[at], row[at]))]
+            at = at[_places(row[at]) < reach[row[at]]]
+            if len(at):
+                yield _deal(2, to[row[at]], d1[row[at]], values[at])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles that several classes hold, with their number, dealt by class."""
+        for bucket, got in _gathered(batches):
+            for before, after in ((1, 0), (2, 2)):
+                if before in got:
+                    yield _handed_on(bucket, after, got[before])
+            if 0 not in got:
+                continue
+            values, d1 = _unrun(got[0], np.uint64)
+            once = np.ones(len(values), bool)
+            once[1:] = (values[1:] != values[:-1]) | (d1[1:] != d1[:-1])
+            values, d1 = values[once], d1[once]
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            number = np.diff(first, append=len(values))
+            number = np.repeat(number, number)
+            several = number > 1
+            if several.any():
+                yield _deal(1, _bucket(bw.mix64(d1[several].view(np.uint64)), buckets), d1[several], values[several], number[several])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _gathered(batches):
+            info, first = np.unique(np.frombuffer(got[0][0], np.int64), return_index=True)
+            size, often = (np.frombuffer(x, np.int64)[first] for x in got[0][1:])
+            row, token = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if 1 in got:
+                d1, values, number = (np.frombuffer(x, t) for x, t in zip(got[1], (np.int64, np.uint64, np.int64), strict=True))
+                order = np.lexsort((values, number, d1))
+                row, values = np.searchsorted(info, d1[order]), values[order]
+                several = np.bincount(row, minlength=len(info))
+                reach = prefix_length(size, p, q) - (size - often - several)
+                keep = _places(row) < reach[row]
+                row, token = row[keep], values[keep]
+            if 2 in got:
+                row = np.concatenate([row, np.searchsorted(info, np.frombuffer(got[2][0], np.int64))])
+                token = np.concatenate([token, np.frombuffer(got[2][1], np.uint64)])
+            # A set enters its own size band, and the one above if a larger set there could link with it.
+            own, above = band_of(size, p, q), band_of(size * q // p, p, q)
+            for step in (0, 1):
+                use = own[row] + step <= above[row]
+                key = bw.mix64(token[use] + bw.mix64((own[row[use]] + step).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(info[row[use]])], names=["key", "d1"])
+
+    by_shingle = _dealt(sets.select("d1", "shingles").mapInArrow(dealt_out, _DEALT))
+    return _dealt(by_shingle.mapInArrow(held, _DEALT)).mapInArrow(prefixes, "key long, d1 long")
+
+
+def _candidate_edges(keys: DataFrame) -> DataFrame:
+    """Edges (a, b) by which all sets that share a key are connected."""
+    shared = keys.groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("key", "low")
+    return keys.join(shared, "key").where("d1 <> low").select(F.col("low").alias("a"), F.col("d1").alias("b")).distinct()
 
 
 class Forest:
@@ -313,56 +521,97 @@ def tree_join(sets: list[np.ndarray], tile: np.ndarray, p: int, q: int, across:
     return forest
 
 
-def _sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
-    """doc_id, n_shingles and `shingles` (the set's hashes as bytes) of rows whose doc_id may be wanted."""
+def _overlap_links(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * q >= p * (len(a) + len(b) - common)
+
+
+def _pivot_links(sets: DataFrame, large: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) of the sets of large clusters with a few sets of the same cluster: `large` is (d1, cluster, n_shingles).
+
+    Each round a cluster's pivot is the set of the smallest hash of another seed; the pivots'
+    sets, at most one of TILE_DOCS sets each, travel to the others by an equi-join that Spark splits
+    where a cluster is hot.
+    """
+    seeds = F.explode(F.array(*(F.lit(k) for k in range(PIVOTS)))).alias("seed")
+    order = F.struct(F.xxhash64("seed", "d1").alias("h"), F.col("d1").alias("pivot"))
+    pivots = large.select("cluster", "d1", seeds).groupBy("cluster", "seed").agg(F.min(order).alias("best")).select("cluster", F.col("best.pivot").alias("pivot")).distinct()
+    own = sets.select(F.col("d1").alias("pivot"), F.col("shingles").alias("theirs"))
+    held = pivots.join(own, "pivot").dropDuplicates(["cluster", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            whole = whole.filter(pa.array(wanted.slots(whole.column(2).to_numpy(zero_copy_only=False))))
-            for b in bw.ranges(whole, budget=2 << 20):
-                values, bounds = shingle_sets(*bw.texts_of(b.column(1)), n)
-                raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), raw], names=["doc_id", "n_shingles", "shingles"])
+        for b in batches:
+            a, d, mine, theirs = (b.column(i) for i in range(4))
+            hit = np.array([_overlap_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p, q) for x, y in zip(mine.to_pylist(), theirs.to_pylist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(hit)), d.filter(pa.array(hit))], names=["a", "b"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("hashed"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, shingles binary")
+    fit = (F.length("shingles") * q >= F.length("theirs") * p) & (F.length("theirs") * q >= F.length("shingles") * p)
+    met = sets.join(large.select("d1", "cluster"), "d1").join(held, "cluster").where(fit & (F.col("d1") != F.col("pivot")))
+    return met.select(F.col("pivot").alias("a"), F.col("d1").alias("b"), "shingles", "theirs").mapInArrow(run, "a long, b long")
 
 
-def _tiled(chosen: DataFrame) -> DataFrame:
-    """`chosen` (doc_id, cluster, n_shingles) with the number of its cluster's tiles, and its own; told before any set is moved."""
-    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
-    tiles = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("tokens") / TILE_SHINGLES)).cast("int")
-    joined = chosen.join(size.select("cluster", tiles.alias("tiles")), "cluster")
-    return joined.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).select("doc_id", "cluster", "tiles", "tile")
+def _band(n: Column, p: int, q: int) -> Column:
+    """Size bands as an expression: sets that link are at most one apart."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(q / p)) - F.lit(1e-9)).cast("int") if q > p else n.cast("int")
+
 
+def _tile_pairs(chosen: DataFrame, p: int, q: int) -> DataFrame:
+    """(d1, cluster, t1, t2, side): every set of a cluster, once for each pair of tiles that it is part of.
 
-def _verified_edges(dealt: DataFrame, p: int, q: int) -> DataFrame:
-    """Spanning edges (a, b) of the links among `dealt` (cluster, tiles, tile, doc_id, shingles)."""
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    paired = dealt.select("cluster", "doc_id", "shingles", "tile", other).select("cluster", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "doc_id", "shingles")
-    sorted_ = paired.repartition("cluster", "t1", "t2").sortWithinPartitions("cluster", "t1", "t2", "doc_id")
+    `chosen` is (d1, cluster, part, n_shingles); sets of one `part` are known to be connected, a
+    null part says nothing. A cluster within a tile's bounds is one tile. Tiles of larger ones hold
+    sets of one part and one size band; two tiles meet if that could connect anything new, and if
+    their bands touch. Tiles of the largest part only meet others, so their pairs are never listed.
+    All this is told before any set is moved.
+    """
+    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
+    banded = chosen.join(size, "cluster")
+    small = (F.col("docs") <= TILE_DOCS) & (F.col("tokens") <= TILE_SHINGLES)
+    whole = F.lit(0).cast("long")
+    one = banded.where(small).select("d1", "cluster", whole.alias("t1"), whole.alias("t2"), F.lit(0).alias("side"))
+    large = banded.where(~small).select("d1", "cluster", F.coalesce("part", F.lit(0)).alias("part"), F.col("part").isNull().alias("loose"), "n_shingles", _band(F.col("n_shingles"), p, q).alias("band"))
+    kind = ["cluster", "loose", "part", "band"]
+    within = large.groupBy(*kind).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
+    main = within.where("NOT loose").groupBy("cluster", "part").agg(F.sum("docs").alias("docs")).groupBy("cluster").agg(F.max(F.struct("docs", "part"))["part"].alias("main"))
+    cuts = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("tokens") / TILE_SHINGLES)).cast("int")
+    within = within.join(main, "cluster", "left").select(*kind, cuts.alias("cuts"), (~F.col("loose") & (F.col("part") == F.col("main"))).alias("largest"))
+    tile = F.xxhash64("loose", "part", "band", "cut")
+    tiles = within.select(*kind, "largest", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).withColumn("tile", tile)
+    of = lambda side: tiles.select("cluster", *(F.col(c).alias(f"{c}_{side}") for c in ("loose", "part", "band", "tile", "largest")))
+    new = (F.col("loose_a") != F.col("loose_b")) | (F.col("part_a") != F.col("part_b")) | F.col("loose_a")
+    once = F.col("largest_b") | (F.col("tile_a") < F.col("tile_b")) | (F.col("tile_a") == F.col("tile_b"))
+    near = of("a").where("NOT largest_a").withColumn("band_b", F.explode(F.array(*(F.col("band_a") + k for k in (-1, 0, 1)))))
+    pairs = near.join(of("b"), ["cluster", "band_b"]).where(new & once).select("cluster", F.col("tile_a").alias("t1"), F.col("tile_b").alias("t2"))
+    sides = pairs.select("*", F.col("t1").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.where("t1 <> t2").select("*", F.col("t2").alias("tile"), F.lit(1).alias("side")))
+    cut = large.join(within, kind).withColumn("cut", F.pmod(F.xxhash64("d1"), F.col("cuts")).cast("int")).select("d1", "cluster", tile.alias("tile"))
+    return one.unionByName(cut.join(sides, ["cluster", "tile"]).select("d1", "cluster", "t1", "t2", "side"))
+
+
+def _verified_edges(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFrame:
+    """Spanning edges (a, b) of the links within each pair of tiles of `dealt` (d1, cluster, t1, t2, side)."""
+    moved = dealt.join(sets.select("d1", "shingles"), "d1").select("cluster", "t1", "t2", "side", "d1", "shingles")
+    sorted_ = moved.repartition("cluster", "t1", "t2").sortWithinPartitions("cluster", "t1", "t2", "d1")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
         key, rows = None, []
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for cluster, t1, t2, tile, doc, raw in zip(*cols, strict=True):
+            for cluster, t1, t2, side, d1, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (cluster, t1, t2) != key:
                     if rows:
                         yield key, rows
                     key, rows = (cluster, t1, t2), []
-                rows.append((doc, tile, np.frombuffer(raw, np.uint64)))
+                if not rows or rows[-1][0] != d1:  # several tasks may have handed on one set
+                    rows.append((d1, side, np.frombuffer(raw, np.uint64)))
         if rows:
             yield key, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for (_, t1, t2), rows in groups(batches):
-            across = t1 != t2
-            tile = np.array([int(r[1] == t2) for r in rows])
-            if len(rows) < 2 or across and tile.min() == tile.max():
+            tile = np.array([r[1] for r in rows])
+            if len(rows) < 2 or t1 != t2 and tile.min() == tile.max():
                 continue
-            forest = tree_join([r[2] for r in rows], tile, p, q, across)
+            forest = tree_join([r[2] for r in rows], tile, p, q, t1 != t2)
             for i, r in enumerate(rows):
                 if (k := forest.root(i)) != i:
                     left.append(rows[k][0])
@@ -375,20 +624,48 @@ def _verified_edges(dealt: DataFrame, p: int, q: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
+def _links(sets: DataFrame, chosen: DataFrame, p: int, q: int) -> DataFrame:
+    """`node` and `component` of the sets that links connect within the clusters of `chosen` (d1, cluster, n_shingles)."""
+    heavy = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).where((F.col("docs") > TILE_DOCS) | (F.col("tokens") > TILE_SHINGLES))
+    large = stash(chosen.join(heavy.select("cluster"), "cluster").select("d1", "cluster", "n_shingles"), "join-large")
+    first = stash(_pivot_links(sets, large, p, q), "join-pivots")
+    parts = connected(first)
+    parted = chosen.join(parts, F.col("d1") == F.col("node"), "left").select("d1", "cluster", F.col("component").alias("part"), "n_shingles")
+    rest = stash(_verified_edges(sets, _tile_pairs(parted, p, q), p, q), "join-tiles")
+    out = connected(first.unionByName(rest))
+    discard(large, first, parts, rest)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """doc_id, text_key, n_shingles, and the smallest (doc_id, text_key) reachable by links of similarity p/q or more: component_id, component_key."""
+    every = stash(_describe(docs, n), "join-rows")
+    rows = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    told = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).first()
+    common = Common(docs, n, told["rows"])
+    buckets = max(1, (told["shingles"] or 0) * (q - p + q // SPARE) // q // BUCKET)
+    promising = stash(_promising(docs, n, p, q, common, buckets), "join-promising")
+    texts = stash(rows.join(promising, "d1").groupBy("d1").agg(F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles")), "join-texts")
+    left = texts.agg(F.count(F.lit(1)).alias("texts"), F.sum("n_shingles").alias("shingles")).first()
+    sets = stash(_wanted_sets(docs, n, Members(texts, "text_key", left["texts"])), "join-sets")
+    keys = stash(_candidate_keys(sets, p, q, common, max(1, (left["shingles"] or 0) // BUCKET)), "join-keys")
+    clusters = connected(_candidate_edges(keys))
+    sizes = rows.groupBy(F.col("d1").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    chosen = stash(clusters.join(sizes, "node").select(F.col("node").alias("d1"), F.col("component").alias("cluster"), "n_shingles"), "join-clusters")
+    discard(promising, texts, keys, clusters)
+
+    links = _links(sets, chosen, p, q)
+    classes = rows.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("own"))
+    linked = classes.join(links, F.col("d1") == F.col("node"), "left").select("n_shingles", "d1", "d2", "own", F.coalesce("component", "d1").alias("component"))
+    least = linked.groupBy("component").agg(F.min("own").alias("first"))
+    named = linked.join(least, "component").select("n_shingles", "d1", "d2", "first")
+    out = rows.join(named, ["n_shingles", "d1", "d2"]).select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("component_key"))
+    apart = every.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_key").alias("component_key"))
+    result = stash(out.union(apart), "join-result")
+    discard(every, sets, chosen, links)
+    return result
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links of similarity p/q or more."""
-    sets = stash(_describe(docs, n, p, q), "join-sets")
-    some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stash(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
-    classed = some.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"])
-    clusters = connected(_candidate_edges(some.select("d1", "keys"))).withColumnRenamed("component", "cluster")
-    chosen = classes.join(clusters, F.col("d1") == F.col("node")).select(F.col("rep").alias("doc_id"), "cluster", "n_shingles")
-    chosen = stash(_tiled(chosen.groupBy("doc_id", "cluster").agg(F.max("n_shingles").alias("n_shingles"))), "join-clusters")
-
-    found = _sets(docs, n, Members(chosen, "doc_id")).where("n_shingles > 0").join(chosen, "doc_id")
-    members = found.dropDuplicates(["cluster", "doc_id", "shingles"])
-    links = connected(_verified_edges(members, p, q))
-
-    out = classed.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    apart = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(apart)
+    return jaccard_classes(docs, n, p, q).select("doc_id", "n_shingles", "component_id")
