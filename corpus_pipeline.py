@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm import compressor, mixing, ngramjoin, packing, pii
-from typeloom.llm.common import stash
+from typeloom.llm.common import discard, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,16 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    The smallest doc_id of a group stays. Of rows repeated with the same id and text, one stays;
-    documents without words, or without an id, all stay.
+    The smallest doc_id of a group stays. Rows of one id with different texts are different
+    documents; of those of one group, and of rows repeated with id and text, one stays. Documents
+    without words, or without an id, all stay.
     """
-    groups = stash(ngramjoin.jaccard_components(docs, n=5, p=80, q=100).select("doc_id", "component_id"), "pipeline-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    groups = ngramjoin.jaccard_classes(docs, n=5, p=80, q=100)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    gone = groups.where(~first).select("doc_id", "text_key").distinct()
+    again = groups.where(first & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key")
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+        kept = kept.join(again, ["doc_id", "text_key"], "left_anti").unionByName(once)
     return kept.select(*COLUMNS)
 
 
@@ -47,9 +50,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that a source's budget cuts is rounded to a whole."""
-    mixed = mixing.mix(docs, carry=("text", "lang", "source", "n_chars"))
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
+    """Documents as often as the mix takes them; the one that a source's budget cuts is rounded to a whole.
+
+    Documents are weighted by the compression classifier's score of the text as it is now. Documents
+    without words cost no budget; each stays once.
+    """
+    model = compressor.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    mixed = mixing.mix(compressor.score_documents(docs, model, carry=COLUMNS), carry=("text", "lang", "source", "n_chars"), quality="score")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(1)).cast("int")
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*COLUMNS)
 
 
@@ -71,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
