@@ -6,8 +6,9 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ def fold_of(col: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(parts)
 
 
-def unit_hash(*cols: Column, seed: int = 0) -> Column:
+def unit_hash(*cols: str | Column, seed: int = 0) -> Column:
     """A deterministic double in (0, 1) made of the given columns, with 52 random bits."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -62,20 +63,56 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_sample(keys: DataFrame, per_class: int, by: str) -> DataFrame:
-    """About `per_class` rows of `keys` (doc_id, `by`) of each value of `by`, or all where there are fewer.
+def bounded_sample(rows: DataFrame, per_class: int, by: str, *identity: str | Column) -> DataFrame:
+    """About `per_class` rows of `rows` of each non-null value of `by`, or all where there are fewer.
 
-    A row is taken if the hash of its doc_id is below its class's share, so the choice depends
-    neither on the partitioning nor on any order, and no class is gathered in one task. The
-    number taken is binomial: beyond 1.2 * `per_class` + 60 it doesn't get.
+    A row is taken if the hash of `identity` (what makes it this row) is below its class's share, or
+    is the least of its class: so the choice depends neither on the partitioning nor on any order,
+    no class is lost, and no class is gathered in one task. Never more than 1.2 * `per_class` + 60
+    rows of a class are taken: where rows of equal identity would make it more, those of
+    the smallest hashes are.
     """
-    counts = {r[by]: r["n"] for r in keys.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return keys.limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, per_class / n)]), F.col(by))
-    return keys.where(F.col(by).isNotNull() & (unit_hash(F.col("doc_id"), seed=17) < share))
+    h = unit_hash(*identity, seed=17)
+    known = rows.where(F.col(by).isNotNull())
+    told = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("least")).collect()
+    if not told:
+        return rows.limit(0)
+    limits = [x for r in sorted(told, key=lambda r: r[by]) for x in (F.lit(r[by]), F.lit(max(per_class / r["n"], r["least"])))]
+    some = known.where(h <= F.element_at(F.create_map(*limits), F.col(by)))
+    most = per_class * 6 // 5 + 60
+    if max(r["n"] for r in some.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()) <= most:
+        return some
+    place = F.row_number().over(Window.partitionBy(by).orderBy(h, *identity))
+    return some.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, most_chars: int | None = None) -> tuple[DataFrame, float]:
+    """doc_id, text and y of a bounded sample of labelled documents whose crc32(doc_id) mod 3 is not 1; and the share of label 1 among such labels.
+
+    Labels other than 0 and 1 are left out, repeated equal ones count once, and an id that has both is
+    a sample of both. Texts that are null or longer than `most_chars` teach nothing.
+    """
+    known = labels.where(F.col(column).isin(0, 1) & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col(column).cast("int").alias("y")).distinct()
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    texts = docs.where(F.col("text").isNotNull() if most_chars is None else F.length("text") <= most_chars).select("doc_id", "text")
+    # At most 1.2 * per_class + 60 ids of each of two labels: small enough to broadcast whatever the corpus.
+    chosen = bounded_sample(known, per_class, "y", "doc_id")
+    return bounded_sample(texts.join(F.broadcast(chosen), "doc_id"), per_class, "y", "doc_id", F.xxhash64("text")), share
+
+
+def in_order(sample: DataFrame, *more: str) -> list[Row]:
+    """The rows of a bounded sample, in an order that only their content makes."""
+    return sorted(sample.collect(), key=lambda r: ((r["doc_id"] * 0x9E3779B1) % (1 << 32), *(r[c] for c in ("doc_id", *more))))
 
 
 def null_safe_key(col: str) -> Column:
     """A non-null string key that keeps null apart from every string."""
     return F.when(F.col(col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(col).cast("string")))
+
+
+def refuse_clashes(carried: Iterable[str], *added: str) -> None:
+    """Carried columns can't have the name (in any case) of one that an operator adds."""
+    taken = {a.lower() for a in added}
+    if bad := [c for c in carried if c.lower() in taken]:
+        raise ValueError(f"rename {', '.join(map(repr, bad))} first: columns of that name are added")

@@ -10,7 +10,9 @@ Labels are learned from a bounded sample: at most `PER_CLASS` documents a class,
 
 Defined results: a null or empty text scores the share of label 1 among the labels learned
 from; without labels of both classes every score is that share (0.5 without any label).
-Repeated rows score alike, repeated labels count each, labels that are null are left out.
+Repeated rows score alike; equal labels of one id count once, labels other than 0 and 1 not at
+all. An empty table gives an empty result; other columns are ignored unless carried, and a
+carried `score` or `predicted` is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import bounded_sample, fold_of
+from typeloom.llm.common import in_order, labelled_sample, refuse_clashes
 
 PER_CLASS = 1500
 TRAIN_CHARS = 20_000
@@ -72,21 +74,18 @@ class CompressionClassifier:
         return self._packers
 
     def features(self, text: bytes) -> list[float]:
-        """Of all blocks: mean and most extreme size difference per byte, mean and least packed share."""
+        """The size difference per byte, of the whole text, and of the blocks that differ most to either side.
+
+        A last block counts by a whole block's size, so the shorter it is, the less it can say.
+        """
         good, bad = self._pack()
-        diff = size = 0
-        most, least, packed = -9.0, 9.0, 1.0
+        total, most, least = 0, -1.0, 1.0
         for at in range(0, len(text), BLOCK):
             block = text[at : at + BLOCK]
-            g, b = len(good(block)), len(bad(block))
-            diff += g - b
-            size += g
-            if len(block) * 2 >= BLOCK or len(text) < BLOCK:
-                d = (g - b) / len(block)
-                most, least, packed = max(most, d), min(least, d), min(packed, g / len(block))
-        n = len(text)
-        mean, share = diff / n, size / n
-        return [mean, most, least, share, packed, share * share, packed * packed]
+            d = len(good(block)) - len(bad(block))
+            total += d
+            most, least = max(most, d / BLOCK), min(least, d / BLOCK)
+        return [total / len(text), most, least]
 
     def fit(self, texts: list[str], y: np.ndarray, share: float) -> None:
         """`share`: label 1 among all labelled rows that may be learned from, to undo the balanced sample."""
@@ -117,15 +116,10 @@ def _dictionary(texts: list[str]) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> CompressionClassifier:
     """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    known = labels.where(F.col(column).isin(0, 1) & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col(column).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+    sample, share = labelled_sample(docs, labels, column, PER_CLASS, TRAIN_CHARS)
+    rows = in_order(sample, "text", "y")
     # Two thirds of a class make the dictionary, the rest the calibration, which so sees texts that are new to it.
-    chosen = bounded_sample(known, PER_CLASS, "y")
-    # At most 2 * PER_CLASS ids: small enough to broadcast whatever the corpus.
-    rows = docs.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1) % (1 << 32))
-    of = {y: [r["text"] for r in rows if r["y"] == y] for y in (0, 1)}
+    of = {y: [r["text"] for r in rows if r["y"] == y and r["text"]] for y in (0, 1)}
     if min(len(of[0]), len(of[1])) < 4:
         return CompressionClassifier(None, None, share)
     cut = {y: max(2, 2 * len(of[y]) // 3) for y in of}
@@ -139,6 +133,7 @@ def score_documents(docs: DataFrame, model: CompressionClassifier, carry: tuple[
     """The columns `carry`, score and predicted for each row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
     keep = list(dict.fromkeys(carry))
+    refuse_clashes(keep, "score", "predicted")
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = docs.select(*keep).schema.add("score", "double")
 

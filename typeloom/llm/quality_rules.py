@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
-from typeloom.llm.common import bounded_sample, fold_of
+from typeloom.llm.common import in_order, labelled_sample, refuse_clashes
 
 PER_CLASS = 3000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_echoes", "n_lines")
@@ -100,6 +100,7 @@ def count_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndar
 
 def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns and the COUNTS of each row's text."""
+    refuse_clashes(carry, *COUNTS, "base_failed", "kept")
     schema = docs.select(*carry).schema
     for c in COUNTS:
         schema = schema.add(c, "long")
@@ -215,14 +216,11 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, long
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    known = labels.where(F.col("quality").isin(0, 1) & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
-    chosen = bounded_sample(known, PER_CLASS, "y")
-    # At most 2 * PER_CLASS ids: small enough to broadcast whatever the corpus.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = statistics(labelled, ("doc_id", "y")).toPandas().sort_values("doc_id")
-    x = ratios_of({c: got[c].to_numpy(np.float64) for c in COUNTS})
-    return learn_list(x, got["y"].to_numpy() == 0, (got["doc_id"].to_numpy() // 3) % 3 != 0)
+    """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1; every third of them, in an order by hash, prunes."""
+    sample, _ = labelled_sample(docs, labels, "quality", PER_CLASS)
+    rows = in_order(statistics(sample.withColumn("text_key", F.xxhash64("text")), ("doc_id", "y", "text_key")), "text_key", "y")
+    x = ratios_of({c: np.array([r[c] for r in rows], np.float64) for c in COUNTS})
+    return learn_list(x, np.array([r["y"] for r in rows], int) == 0, np.arange(len(rows)) % 3 != 0)
 
 
 def base_failed() -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
 from typeloom.llm import subwords as sw
-from typeloom.llm.common import bounded_sample, fold_of
+from typeloom.llm.common import in_order, labelled_sample, refuse_clashes
 from typeloom.llm.compressor import fit_logistic
 
 PER_CLASS = 1500
@@ -208,13 +208,8 @@ def fit(texts: list[str], y: np.ndarray, share: float, seed: int = 5) -> Toxicit
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    known = labels.where(F.col(column).isin(0, 1) & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col(column).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    chosen = bounded_sample(known, PER_CLASS, "y")
-    # At most 2 * PER_CLASS ids: small enough to broadcast whatever the corpus.
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B1) % (1 << 32), r["doc_id"]))
+    sample, share = labelled_sample(docs, labels, column, PER_CLASS, TRAIN_CHARS)
+    rows = in_order(sample, "text", "y")
     y = np.array([r["y"] for r in rows], np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         return ToxicityModel(share)
@@ -224,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Toxicity
 def score_documents(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The carried columns, score and predicted (1 from `threshold` on) of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB: one number per n-gram bucket
+    refuse_clashes(carry, "score", "predicted")
     schema = docs.select(*carry).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
