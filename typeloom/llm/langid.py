@@ -4,14 +4,16 @@ Every word of a text is labelled with a language by forward-backward over a chai
 emission has affix and character n-gram features (hashed; a word's edge is a character) and a
 lexicon feature (a word seen often in training has weights of its own); transitions between the
 languages of neighbouring words are learned with them, by the gradient of the chain likelihood,
-so that code-switched text is labelled word by word. A chain is a line, or each run of `CHAIN`
-words of a longer one. A text's language is the one of the highest mean probability over its
+so that code-switched text is labelled word by word. A chain is a line, however long: messages
+cross a long line in blocks of `BLOCK` words, whose transfer matrices are multiplied out first, which
+changes nothing but the time. A text's language is the one of the highest mean probability over its
 words; that mean is its score.
 
 Training takes a bounded sample: about `PER_LANG` documents a language, of at most
 `TRAIN_CHARS` characters each. Of its words `TRAIN_WORDS`, drawn evenly, fit the emissions, and
 lines of about twice as many an epoch make the chains, half of them in runs of one language drawn
-evenly over the languages. A document's language labels its lines at first; a first fit of
+evenly over the languages; for training, lines are cut after `TRAIN_LINE` words. The `LEXICON` words that
+the sample holds most often, three times at least, have weights of their own. A document's language labels its lines at first; a first fit of
 the emissions then moves lines that are plainly in another language, and training chains join
 lines of several languages. Every text is labelled whole.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
 from typeloom.llm import subwords as sw
-from typeloom.llm.common import bounded_sample, fold_of
+from typeloom.llm.common import bounded_sample, fold_of, refuse_clashes
 
 PER_LANG = 300
 TRAIN_CHARS = 20_000
@@ -40,7 +42,8 @@ TRAIN_WORDS = 120_000
 #: (order, bits) of the n-gram tables; a table's buckets follow the one before.
 TABLES = ((2, 16), (3, 17))
 LEXICON = 20_000
-CHAIN = 128
+#: Words of a block of a long line, and of a line that training draws.
+BLOCK, TRAIN_LINE = 128, 32
 EPOCHS = 2
 UNKNOWN = "und"
 
@@ -50,8 +53,8 @@ SEPARATORS[65:91] = SEPARATORS[97:123] = SEPARATORS[128:] = False
 _SIZE = sum(1 << b for _, b in TABLES)
 
 
-def chains_of(data: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, most: int = CHAIN) -> np.ndarray:
-    """First word of each chain."""
+def chains_of(data: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, most: int | None = None) -> np.ndarray:
+    """First word of each chain: of each line, or of each `most` words of it."""
     if not len(s):
         return np.zeros(0, np.int64)
     lines = np.zeros(len(data) + 1, np.int64)
@@ -59,8 +62,12 @@ def chains_of(data: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, m
     new = np.ones(len(s), bool)
     new[1:] = (row[1:] != row[:-1]) | (lines[s[1:]] > lines[e[:-1]])
     begin = np.flatnonzero(new)
-    size = np.diff(begin, append=len(s))
-    place = np.arange(len(s)) - np.repeat(begin, size)
+    return begin if most is None else cut_chains(begin, len(s), most)
+
+
+def cut_chains(begin: np.ndarray, n: int, most: int) -> np.ndarray:
+    """First word of each piece of at most `most` words of chains that begin at `begin`."""
+    place = np.arange(n) - np.repeat(begin, np.diff(begin, append=n))
     return np.flatnonzero(place % most == 0)
 
 
@@ -96,6 +103,57 @@ def forward_backward(emission: np.ndarray, begin: np.ndarray, transition: np.nda
     return marginal / marginal.sum(1, keepdims=True), pairs, float(np.log(scale).sum() + top.sum())
 
 
+def _normal(x: np.ndarray, axis: int | tuple[int, ...] = -1) -> np.ndarray:
+    return x / x.sum(axis, keepdims=True)
+
+
+def marginals(emission: np.ndarray, begin: np.ndarray, transition: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Word marginals of chains laid end to end, as `forward_backward` gives them, in time that depends little on the longest.
+
+    Chains are cut into blocks. What enters a block from either side comes from the products of
+    the blocks' transfer matrices along their chain; then all blocks step together.
+    """
+    n, k = emission.shape
+    em, a = np.exp(emission - emission.max(1, keepdims=True)), np.exp(transition)
+    cut = cut_chains(begin, n, block)
+    size = np.diff(cut, append=n)
+    chain = np.searchsorted(begin, cut, "right") - 1
+    place = np.arange(len(cut)) - np.searchsorted(chain, chain)
+    enter = np.tile(np.exp(start), (len(cut), 1))
+    leave = np.ones((len(cut), k))
+
+    long = np.flatnonzero(np.bincount(chain, minlength=len(begin))[chain] > 1)
+    if len(long):
+        move = np.where(place[long, None, None] == 0, np.eye(k), a) * em[cut[long]][:, None, :]
+        for t in range(1, block):
+            on = np.flatnonzero(size[long] > t)
+            move[on] = _normal(move[on] @ a * em[cut[long[on]] + t][:, None, :], (1, 2))
+        of = np.full(len(cut), -1)
+        of[long] = np.arange(len(long))
+        for j in range(1, int(place.max()) + 1):
+            at = long[place[long] == j]
+            enter[at] = _normal(np.einsum("bi,bij->bj", enter[at - 1], move[of[at - 1]]))
+        for j in range(int(place.max()), 0, -1):
+            at = long[place[long] == j]
+            leave[at - 1] = _normal(np.einsum("bij,bj->bi", move[of[at]], leave[at]))
+
+    order = np.argsort(-size, kind="stable")
+    cut, size, enter, leave, first = cut[order], size[order], enter[order], leave[order], place[order] == 0
+    steps = int(size.max(initial=0))
+    going = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
+    alpha, beta = np.empty_like(em), np.empty_like(em)
+    state = np.where(first[:, None], enter, enter @ a)
+    for t in range(steps):
+        at = cut[: going[t]] + t
+        state = _normal((state[: going[t]] @ a if t else state) * em[at])
+        alpha[at] = state
+    beta[cut + size - 1] = leave
+    for t in range(steps - 2, -1, -1):
+        at = cut[: going[t + 1]] + t
+        beta[at] = _normal((em[at + 1] * beta[at + 1]) @ a.T)
+    return _normal(alpha * beta)
+
+
 class LanguageModel:
     def __init__(self, labels: list[str]):
         self.labels = labels
@@ -134,7 +192,7 @@ class LanguageModel:
             lettered[i] = any(ch.isalpha() for ch in col[i].as_py() or "")
         out, score = np.full(rows, -1), np.zeros(rows)
         if k and len(s):
-            marginal, _, _ = forward_backward(self.emissions(stream, s, e).astype(np.float64), chains_of(data, s, e, row), self.transition, self.start)
+            marginal = marginals(self.emissions(stream, s, e).astype(np.float64), chains_of(data, s, e, row), self.transition, self.start)
             words = np.bincount(row, minlength=rows)
             share = np.column_stack([np.bincount(row, weights=marginal[:, j], minlength=rows) for j in range(k)]) / np.maximum(1, words)[:, None]
             seen = (words > 0) & lettered
@@ -149,7 +207,7 @@ class _Words:
         stream, s, e, row, data = sw.stream_and_bytes(pa.array(texts, pa.large_string()), SEPARATORS)
         self.hash, first, self.type = np.unique(bw.span_hashes(stream, s, e), return_index=True, return_inverse=True)
         self.row = row
-        self.begin = chains_of(data, s, e, row, 32)
+        self.begin = chains_of(data, s, e, row, TRAIN_LINE)
         a, b = s[first] - 1, e[first]
         length = b - a
         where = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(a, length)
@@ -279,15 +337,15 @@ def chain_lines(of_line: np.ndarray, size: np.ndarray, words: int, rng: np.rando
 def train(docs: DataFrame) -> LanguageModel:
     """Learn from documents with a language whose crc32(doc_id) mod 4 is not 2."""
     known = docs.where(F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2) & (F.length("text") <= TRAIN_CHARS))
-    chosen = bounded_sample(known.select("doc_id", "lang", "text"), PER_LANG, "lang")
-    rows = chosen.collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    chosen = bounded_sample(known.select("doc_id", "lang", "text"), PER_LANG, "lang", "doc_id", F.xxhash64("text"))
+    rows = sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else LanguageModel([])
 
 
 def label_documents(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, lang_pred and score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded tables: n-gram buckets and a lexicon, by language
+    refuse_clashes(carry, "lang_pred", "score")
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
