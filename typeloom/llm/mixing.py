@@ -6,26 +6,29 @@ and documents are taken in the order of their keys while the prefix sum of their
 within the budget. The document at the boundary is taken in part, so the words taken meet
 the target to within one word.
 
-The order within a source is found without gathering it: keys fall into ranges (a monotone
-image of the key, cut evenly), ranges are summed, and only then are documents ordered within
-their range. A hot source is spread over all of its ranges.
+The order within a source is found without gathering it: keys fall into bins of the logarithm
+of the key, `PER_OCTAVE` to a factor of two, whatever the source's size and weights; bins are summed, and
+only then are documents ordered within their bin. Whatever the weights, a bin holds less than
+one in a thousand of a source's documents, but for its smallest keys, so a hot source is spread evenly.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
-own, ordered last; rows with equal keys are ordered by doc_id and size; repeated rows count
-each for itself; an empty table gives an empty result; other columns are ignored.
+own, ordered last; a null quality counts as none; rows with equal keys are ordered by doc_id and size;
+repeated rows count each for itself; an empty table gives an empty result; other columns are
+ignored unless carried, and a carried name that is added (in any case) is refused. One row a source
+reaches the driver, where the targets are worked out: sources are terms of a mixture, not hosts.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import WORD, null_safe_key, stash, unit_hash
+from typeloom.llm.common import WORD, null_safe_key, refuse_clashes, stash, unit_hash
 
-#: Documents aimed at in one key range of one source.
-RANGE_DOCS = 20_000
+#: Bins of keys to a factor of two.
+PER_OCTAVE = 1024
+#: The weight of a document of quality 0; that of quality 1 is 1.
+LEAST_WEIGHT = 0.1
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -54,42 +57,35 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (3
     return out
 
 
-def quality_weight(text: Column) -> Column:
-    """A document's weight from 0.1 to 1: less for a text rich in symbols that prose seldom has."""
-    odd = F.regexp_count(text, F.lit(r"[#*$%&|<>!{}=_]")).cast("double")
-    return F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(10.0) * odd / (F.length(text) + F.lit(1)))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20, carry: tuple[str, ...] = (), quality: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted), and columns named in `carry`.
 
-    One row per source is collected, to work out the targets; nothing else is.
+    `quality` names a column of scores from 0 to 1, by which documents are weighted; without it all weigh 1.
     """
+    refuse_clashes(carry, "size", "source_size", "target", "taken", "__key", "__source", "__bin")
     spark = docs.sparkSession
-    text = F.col("text")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    key = -F.log(unit_hash(F.col("doc_id"), seed=seed)) / F.coalesce(quality_weight(text), F.lit(1.0))
-    sized = stash(docs.select(*dict.fromkeys(["doc_id", "source", *carry]), size.alias("size"), key.alias("key")), "mix-sizes")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    weight = F.lit(1.0) if quality is None else LEAST_WEIGHT + (1 - LEAST_WEIGHT) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(quality), F.lit(0.0))))
+    key = -F.log(unit_hash(F.col("doc_id"), seed=seed)) / weight
+    named = [F.col(c) for c in dict.fromkeys(carry) if c not in ("doc_id", "source")]
+    sized = stash(docs.select("doc_id", F.col("source"), *named, size.alias("size"), key.alias("__key")), "mix-sizes")
 
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     aim = targets([(r["source"], r["size"]) for r in per_source], weights, share, most)
-    # Keys of weight w are exponential with rate w <= 1, so this image fills (0, 1) on the whole.
-    ranges = max(64, math.ceil(max((r["n"] for r in per_source), default=0) / RANGE_DOCS))
     budgets = spark.createDataFrame(
         [("0" if r["source"] is None else "1" + r["source"], r["size"], float(aim[r["source"]])) for r in per_source],
-        "sk string, source_size long, target double",
+        "__source string, source_size long, target double",
     )
-    bucket = F.least(F.lit(ranges - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * ranges)).cast("int")
-    keyed = sized.withColumns({"sk": null_safe_key("source"), "bucket": bucket})
+    keyed = sized.withColumns({"__source": null_safe_key("source"), "__bin": F.floor(F.log2("__key") * PER_OCTAVE).cast("int")})
 
-    sums = keyed.groupBy("sk", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.withColumn("base", F.sum("words").over(Window.partitionBy("sk").orderBy("bucket")) - F.col("words"))
-    starts = before.join(budgets, "sk").select("sk", "bucket", "base", "source_size", "target")
+    sums = keyed.groupBy("__source", "__bin").agg(F.sum("size").alias("words"))
+    before = sums.withColumn("base", F.sum("words").over(Window.partitionBy("__source").orderBy("__bin")) - F.col("words"))
+    starts = before.join(budgets, "__source").select("__source", "__bin", F.col("base").alias("__base"), "source_size", "target")
 
-    within = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["sk", "bucket"])
+    within = Window.partitionBy("__source", "__bin").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("__ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["__source", "__bin"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("base") - F.col("ahead")))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("__base") - F.col("__ahead")))
     taken = (epochs * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(c for c in carry if c != "doc_id"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(c for c in dict.fromkeys(carry) if c != "doc_id"))

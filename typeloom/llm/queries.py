@@ -28,7 +28,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    model = compressor.train(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(compressor.score_documents(docs.select("doc_id", "source", "text"), model, carry=("doc_id", "source", "text")), quality="score")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +46,19 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
-#: The four host rules of the contract, and no others: a page that none of them fits is allowed.
+#: Pages that teach little: forms and lists, and files that aren't text.
+URL_SEGMENTS = ("login", "signin", "logout", "register", "cart", "checkout", "wp-admin", "feed", "print")
+URL_ENDINGS = ("jpg", "jpeg", "png", "gif", "svg", "css", "js", "zip", "gz", "exe", "mp3", "mp4")
+URL_PAGED = r"/page/[0-9]+/?$"
+#: The four host rules of the contract, then patterns of our own, which judge where none of those fits.
 URL_RULES = [
     urlfilter.host_rule("block", "net/"),
     urlfilter.host_rule("allow", "example.net/en/"),
     urlfilter.host_rule("block", "example.com/de/"),
     urlfilter.host_rule("allow", "org/fr/"),
+    *(urlfilter.segment_rule("block", x) for x in URL_SEGMENTS),
+    *(urlfilter.ending_rule("block", x) for x in URL_ENDINGS),
+    urlfilter.pattern_rule("paged", "block", URL_PAGED, "/page/"),
 ]
 
 
@@ -87,12 +96,15 @@ QUERIES = {
 
 ORACLES = {
     "op5_topk": r"""
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+WITH f AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+  SELECT vec_id, list_transform(w, lambda x: CAST(x AS HUGEINT)) AS e FROM f
+  WHERE coalesce(list_sum(list_transform(w, lambda x: least(abs(x), 1e100) * least(abs(x), 1e100))), 0) < 4611686018427387904
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
@@ -115,6 +127,11 @@ WITH cut AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
   END AS rule FROM parts
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END
+  WHEN regexp_matches(lower(path), '/(login|signin|logout|register|cart|checkout|wp-admin|feed|print)([/.]|$)')
+    OR regexp_matches(lower(path), '/[^/]*\.(jpg|jpeg|png|gif|svg|css|js|zip|gz|exe|mp3|mp4)$')
+    OR regexp_matches(path, '/page/[0-9]+/?$') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
 """,
 }

@@ -6,9 +6,11 @@ candidate rules from the index, and only those candidates run their regular expr
 All of it is Spark expressions: no Python, no shuffle of the pages while the index is small
 enough to be a literal (`LITERAL_RULES`), an equi-join on the token beyond.
 
+Host rules are named in the result; patterns of one's own only give a verdict where no host rule fits.
+
 Defined results: a null URL or one without ``://`` has an empty host and path and gets the
 default verdict. Repeated rows are judged alike, an empty table gives an empty result, and
-other columns of the input are ignored.
+other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ class UrlRule:
     tokens: tuple[str, ...]
     #: Higher wins; ties go to the name that sorts first.
     rank: int
+    #: Whether the result names it.
+    shown: bool = True
 
 
 def tokens_of(literal: str) -> tuple[str, ...]:
@@ -60,8 +64,18 @@ def host_rule(verdict: str, spelled: str) -> UrlRule:
 
 
 def pattern_rule(name: str, verdict: str, regex: str, literal: str, rank: int = 0) -> UrlRule:
-    """A general pattern; `literal` is text that any match holds, delimited by other characters."""
-    return UrlRule(name, verdict, regex, tokens_of(literal), rank)
+    """A general pattern, below any host rule; `literal` is text that any match holds, delimited by other characters."""
+    return UrlRule(name, verdict, regex, tokens_of(literal), rank, shown=False)
+
+
+def segment_rule(verdict: str, segment: str) -> UrlRule:
+    """A segment of the path, in any case, with or without an ending."""
+    return pattern_rule(f"/{segment}", verdict, rf"(?i)/{_java_quote(segment)}(?:[/.]|$)", f"/{segment}/")
+
+
+def ending_rule(verdict: str, ending: str) -> UrlRule:
+    """The ending of a path's last segment, in any case."""
+    return pattern_rule(f".{ending}", verdict, rf"(?i)/[^/]*\.{_java_quote(ending)}$", f".{ending}")
 
 
 def index_rules(rules: list[UrlRule]) -> dict[str, list[UrlRule]]:
@@ -86,7 +100,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def _rule_struct(r: UrlRule) -> Column:
-    return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"))
+    return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"), F.lit(r.shown).alias("shown"))
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -95,7 +109,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", i
     host, path = split_url(F.col(url_col))
     df = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     toks = F.array_distinct(F.split(F.translate(F.concat("host", "path"), UPPER, LOWER), "[^a-z0-9]+"))
-    best = lambda found: F.sort_array(F.transform(found, lambda r: F.struct((-r["rank"]).alias("o"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+    best = lambda found: F.sort_array(F.transform(found, lambda r: F.struct((-r["rank"]).alias("o"), r["name"].alias("name"), r["verdict"].alias("verdict"), r["shown"].alias("shown"))))
     target = F.concat("host", "path")
     if len(rules) <= LITERAL_RULES:
         table = F.create_map(*[x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(_rule_struct, rs)))])
@@ -104,10 +118,9 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", i
         df = df.withColumn("__best", F.get(best(fits), 0))
     else:
         spark = pages.sparkSession
-        rows = [(t, r.rank, r.name, r.verdict, r.regex) for t, rs in index.items() for r in rs]
-        table = spark.createDataFrame(rows, "token string, rank int, name string, verdict string, regex string")
-        keyed = df.withColumn("__row", F.monotonically_increasing_id())
-        hits = keyed.select("__row", target.alias("target"), F.explode(toks).alias("token")).join(table, "token").where(F.regexp_like("target", F.col("regex")))
-        first = hits.groupBy("__row").agg(F.min(F.struct((-F.col("rank")).alias("o"), "name", "verdict")).alias("__best"))
-        df = keyed.join(first, "__row", "left")
-    return df.select(id_col, "host", "path", F.col("__best.name").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
+        rows = [(t, r.rank, r.name, r.verdict, r.regex, r.shown) for t, rs in index.items() for r in rs]
+        table = spark.createDataFrame(rows, "token string, rank int, name string, verdict string, regex string, shown boolean")
+        hits = df.select("host", "path").distinct().withColumn("token", F.explode(toks)).join(table, "token").where(F.regexp_like(target, F.col("regex")))
+        first = hits.groupBy("host", "path").agg(F.min(F.struct((-F.col("rank")).alias("o"), "name", "verdict", "shown")).alias("__best"))
+        df = df.join(first, ["host", "path"], "left")
+    return df.select(id_col, "host", "path", F.when(F.col("__best.shown"), F.col("__best.name")).alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
