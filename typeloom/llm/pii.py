@@ -6,13 +6,16 @@ the strict pattern with its checks, gazetteers (top-level domains, issuer prefix
 codes, plausible octets), words to its left that speak for or against it, and what it touches.
 How often each pattern of votes occurs is counted over all candidates of all documents; from
 these counts expectation-maximisation estimates each labeler's reliability, and a logistic span
-classifier is trained on the resulting soft labels. It decides, as a Spark expression, which
-candidates of the wider patterns are added. The count table has a row per pattern of votes,
-whose number doesn't depend on the data; it is all that reaches the driver.
+classifier is trained on the resulting soft labels, from the votes and from features of the span
+that no labeler sees (its kind, length, digits and separators). It decides, as a Spark expression, which
+candidates of the wider patterns are added. The count table has a row per pattern of votes and
+features, whose number doesn't depend on the data; it is all that reaches the driver.
 
 Defined results: null text counts as empty; a document without spans has zero counts and empty
-`spans`; added spans never overlap strict ones or each other; repeated rows give equal results;
-an empty table gives an empty result; other columns are ignored unless carried.
+`spans`; added spans never overlap strict ones or each other (of two that would, the one that begins
+first counts, and of those the kind listed first); repeated rows give equal results; an empty table
+gives an empty result; other columns are ignored unless carried, and may have any name but one with
+two underscores first.
 """
 
 from __future__ import annotations
@@ -58,15 +61,15 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
 
 
-def prefix_sums(a: Column, block: int = 64) -> Column:
-    """For each entry of an array of numbers, the sum of those before it; near linear in its length."""
-    total = lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)
+def fold_before(a: Column, zero: Column, combine: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """For each entry of an array, the fold (of an associative operation) of those before it; near linear in its length."""
+    fold = lambda x: F.aggregate(x, zero, combine)
     part = lambda i: F.floor(i / block).cast("int")
 
     def over(a: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, block)))
-        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return let(starts, lambda starts: F.transform(a, lambda _, i: F.get(starts, part(i)) + total(F.slice(a, part(i) * block + 1, i % block))))
+        folds = F.transform(F.sequence(F.lit(0), part(F.size(a) - 1)), lambda b: fold(F.slice(a, b * block + 1, block)))
+        starts = F.aggregate(folds, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+        return let(starts, lambda starts: F.transform(a, lambda _, i: combine(F.get(starts, part(i)), fold(F.slice(a, part(i) * block + 1, i % block)))))
 
     return let(a, over)
 
@@ -120,22 +123,41 @@ def _spans(text: Column, m: Column, gaps: Column, kind: str, strict: bool) -> Co
             F.lit(KINDS.index(kind)).alias("kind"), F.lit(strict).alias("strict"),
         )
 
-    placed = let(prefix_sums(steps), lambda before: F.transform(m, lambda x, i: span(x, i, before)))
+    placed = let(fold_before(steps, F.lit(0), lambda p, q: p + q), lambda before: F.transform(m, lambda x, i: span(x, i, before)))
     return F.when(F.size(m) > 0, F.filter(placed, lambda s: passes(kind, s["m"]) if strict else F.lit(True))).otherwise(F.array().cast(_NO_SPANS))
 
 
+#: Beyond any place in a text.
+_FAR = 2**31 - 1
+
+
+def _clear(base: Column, wide: Column) -> Column:
+    """`wide` spans that touch neither a base span nor a wide one before them: one sweep from either side over all spans in order."""
+    item = lambda late: lambda s: F.struct(s["start"].alias("start"), F.lit(late).alias("late"), s["kind"].alias("kind"), s["end"].alias("end"), s.alias("s"))
+    spans = F.array_sort(F.concat(F.transform(base, item(0)), F.transform(wide, item(1))))
+
+    def sweep(spans: Column) -> Column:
+        seen = fold_before(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda p, q: F.greatest(p, q))
+        ahead = fold_before(F.transform(F.reverse(spans), lambda x: F.when(x["late"] == 0, x["start"]).otherwise(F.lit(_FAR))), F.lit(_FAR), lambda p, q: F.least(p, q))
+        rows = F.arrays_zip(spans.alias("x"), seen.alias("seen"), F.reverse(ahead).alias("ahead"))
+        free = F.filter(rows, lambda r: (r["x"]["late"] == 1) & (r["seen"] <= r["x"]["start"]) & (r["ahead"] >= r["x"]["end"]))
+        return F.transform(free, lambda r: r["x"]["s"])
+
+    return let(spans, sweep)
+
+
 def candidates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, `base` (spans of the strict patterns) and `wide` (other candidates, none overlapping them)."""
+    """The carried columns, `__base` (spans of the strict patterns) and `__wide` (other candidates, none overlapping them)."""
+    if bad := [c for c in carry if c.startswith("__")]:
+        raise ValueError(f"rename {bad} first: names with two underscores are used within")
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(*carry, text.alias("__text"))
     ways = [(k, s) for s in (True, False) for k in KINDS]
     df = df.withColumns({f"__m_{k}_{s}": _found(F.col("__text"), k, s) for k, s in ways})
     df = df.withColumns({f"__g_{k}_{s}": F.when(F.size(f"__m_{k}_{s}") > 0, F.split("__text", (STRICT if s else WIDE)[k], -1)) for k, s in ways})
     df = df.withColumns({f"__s_{k}_{s}": _spans(F.col("__text"), F.col(f"__m_{k}_{s}"), F.col(f"__g_{k}_{s}"), k, s) for k, s in ways})
-    df = df.withColumns({"base": F.concat(*(F.col(f"__s_{k}_True") for k in KINDS)), "__wide": F.concat(*(F.col(f"__s_{k}_False") for k in KINDS))})
-    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    clear = F.filter("__wide", lambda a: ~F.exists("base", lambda b: touch(a, b)) & ~F.exists("__wide", lambda b: touch(a, b) & ((b["start"] < a["start"]) | (b["start"] == a["start"]) & (b["kind"] < a["kind"]))))
-    return df.select(*carry, "base", F.when(F.size("__wide") > 0, clear).otherwise(F.col("__wide")).alias("wide"))
+    df = df.withColumns({"__base": F.concat(*(F.col(f"__s_{k}_True") for k in KINDS)), "__any": F.concat(*(F.col(f"__s_{k}_False") for k in KINDS))})
+    return df.select(*carry, "__base", F.when(F.size("__any") > 0, _clear(F.col("__base"), F.col("__any"))).otherwise(F.col("__any")).alias("__wide"))
 
 
 def votes(s: Column) -> list[Column]:
@@ -158,18 +180,31 @@ def votes(s: Column) -> list[Column]:
     ]
 
 
+SPAN_FEATURES = (*(f"is_{k}" for k in KINDS), "long", "many_digits", "separated")
+
+
+def span_features(s: Column) -> list[Column]:
+    """0 or 1 for each of SPAN_FEATURES: what the span itself shows."""
+    m = s["m"]
+    yes = [*(s["kind"] == k for k in range(len(KINDS))), F.length(m) > 16, F.length(_digits(m)) >= 10, m.rlike(r"[0-9A-Za-z][ ()/:_-][ ()0-9A-Za-z]")]
+    return [F.when(y, F.lit(1)).otherwise(F.lit(0)) for y in yes]
+
+
 @dataclass
 class SpanClassifier:
-    """Weights of each labeler's vote for either value, and a bias."""
+    """Weights of each labeler's vote for either value, weights of the span's own features, and a bias."""
 
     reliability: dict[str, tuple[float, float]]
     weights: list[tuple[float, float]]
+    features: list[float]
     bias: float
 
     def accepts(self, s: Column) -> Column:
         logit = F.lit(self.bias)
         for (plus, minus), v in zip(self.weights, votes(s), strict=True):
             logit = logit + F.when(v == 1, F.lit(plus)).when(v == -1, F.lit(minus)).otherwise(F.lit(0.0))
+        for w, f in zip(self.features, span_features(s), strict=True):
+            logit = logit + w * f
         return logit > 0
 
 
@@ -177,64 +212,66 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def aggregate_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 30, steps: int = 400) -> SpanClassifier:
-    """Expectation-maximisation over counted vote patterns, then a logistic regression on its soft labels.
+#: Candidates that the prior of the reliabilities is worth: it gives way as soon as there are more.
+PRIOR = 20.0
+#: Of a labeler for a true and for a false candidate, the chances of its votes before any is seen: right in four of five cases.
+GIVEN = {1: {1: 0.6, 0: 0.25, -1: 0.15}, 0: {1: 0.15, 0: 0.25, -1: 0.6}}
+
+Votes = tuple[int, ...]
+
 
-    Of each labeler, the chances of each vote are estimated for true and for false candidates.
-    Votes are taken as independent given the truth; a prior pulls estimates to what a labeler
-    that is right in four of five cases would show, which keeps the classes from changing roles.
+def estimate(patterns: dict[Votes, int], rounds: int = 50) -> tuple[dict[Votes, float], list[dict[int, dict[int, float]]]]:
+    """By expectation-maximisation over counted votes: the chance that candidates of each pattern are true, and each labeler's chances of its votes.
+
+    Votes are taken as independent given the truth; the prior keeps the classes from changing roles.
     """
     j = len(LABELERS)
-    given = {1: {1: 0.6, 0: 0.25, -1: 0.15}, 0: {1: 0.15, 0: 0.25, -1: 0.6}}
-    rate = {z: [dict(given[z]) for _ in range(j)] for z in (0, 1)}
-    share, soft = 0.5, {}
+    rate = [{z: dict(GIVEN[z]) for z in (0, 1)} for _ in range(j)]
+    total, share, soft = sum(patterns.values()), 0.5, {}
     for _ in range(rounds):
-        for v, _n in patterns:
-            like = {z: math.log(share if z else 1 - share) + sum(math.log(rate[z][k][v[k]]) for k in range(j)) for z in (0, 1)}
+        for v in patterns:
+            like = {z: math.log(share if z else 1 - share) + sum(math.log(rate[k][z][v[k]]) for k in range(j)) for z in (0, 1)}
             soft[v] = _sigmoid(like[1] - like[0])
-        total = sum(n for _, n in patterns)
-        if not total:
-            break
-        strength = 0.05 * total + 5
-        share = (sum(n * soft[v] for v, n in patterns) + 0.5 * strength) / (total + strength)
-        for z in (0, 1):
-            for k in range(j):
-                weight = {x: strength * given[z][x] for x in (1, 0, -1)}
-                for v, n in patterns:
+        share = (sum(n * soft[v] for v, n in patterns.items()) + 0.5 * PRIOR) / (total + PRIOR)
+        for k in range(j):
+            for z in (0, 1):
+                weight = {x: PRIOR * GIVEN[z][x] for x in (1, 0, -1)}
+                for v, n in patterns.items():
                     weight[v[k]] += n * (soft[v] if z else 1 - soft[v])
                 whole = sum(weight.values())
-                rate[z][k] = {x: w / whole for x, w in weight.items()}
-    reliability = {name: (rate[1][k][1], rate[0][k][-1]) for k, name in enumerate(LABELERS)}
+                rate[k][z] = {x: w / whole for x, w in weight.items()}
+    return soft, rate
+
+
+def aggregate_votes(patterns: list[tuple[Votes, Votes, int]], steps: int = 600) -> SpanClassifier:
+    """A logistic regression on the soft labels that `estimate` gives; `patterns` are votes, span features and how often they occur together."""
+    j, by_votes = len(LABELERS), {}
+    for v, _, n in patterns:
+        by_votes[v] = by_votes.get(v, 0) + n
+    soft, rate = estimate(by_votes)
+    reliability = {name: (rate[k][1][1], rate[k][0][-1]) for k, name in enumerate(LABELERS)}
 
     # Every pattern weighs by the logarithm of its count, so that frequent ones don't drown the rest.
-    data = [(v, soft[v], 1 + math.log(n)) for v, n in patterns]
-    # Two made-up patterns say what unanimous votes mean, however few the candidates are.
-    data += [((1,) * j, 0.99, 2.0), ((-1,) * j, 0.01, 2.0), ((0, -1, 0, -1, -1), 0.02, 2.0), ((0, 1, 1, 0, 1), 0.9, 2.0)]
-    plus, minus, bias = [0.0] * j, [0.0] * j, 0.0
-    whole = sum(w for _, _, w in data)
+    x = [[*(float(y == 1) for y in v), *(float(y == -1) for y in v), *map(float, f)] for v, f, _ in patterns]
+    y, weight = [soft[v] for v, _, _ in patterns], [1 + math.log(n) for _, _, n in patterns]
+    w, bias, whole = [0.0] * (2 * j + len(SPAN_FEATURES)), 0.0, sum(weight) or 1.0
     for _ in range(steps):
-        gp, gm, gb = [0.0] * j, [0.0] * j, 0.0
-        for v, y, w in data:
-            z = bias + sum(plus[k] if x == 1 else minus[k] if x == -1 else 0.0 for k, x in enumerate(v))
-            d = w * (_sigmoid(z) - y) / whole
+        grad, gb = [0.002 * a for a in w], 0.0
+        for row, target, often in zip(x, y, weight, strict=True):
+            d = often * (_sigmoid(bias + sum(a * b for a, b in zip(w, row, strict=True) if b)) - target) / whole
             gb += d
-            for k, x in enumerate(v):
-                if x == 1:
-                    gp[k] += d
-                elif x == -1:
-                    gm[k] += d
+            grad = [g + d * b for g, b in zip(grad, row, strict=True)]
         bias -= gb
-        plus = [p - g - 0.002 * p for p, g in zip(plus, gp, strict=True)]
-        minus = [p - g - 0.002 * p for p, g in zip(minus, gm, strict=True)]
-    return SpanClassifier(reliability, list(zip(plus, minus, strict=True)), bias)
+        w = [a - g for a, g in zip(w, grad, strict=True)]
+    return SpanClassifier(reliability, list(zip(w[:j], w[j : 2 * j], strict=True)), w[2 * j :], bias)
 
 
 def train(found: DataFrame) -> SpanClassifier:
-    """Count the vote patterns of all candidates, and learn from the counts."""
-    every = found.select(F.explode(F.concat("base", "wide")).alias("s"))
-    voted = every.select(*(v.cast("int").alias(n) for n, v in zip(LABELERS, votes(F.col("s")), strict=True)))
-    counted = voted.groupBy(*LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 2 * 2 * 2 * 2 rows
-    return aggregate_votes(sorted((tuple(r[n] for n in LABELERS), r["n"]) for r in counted))
+    """Count votes and features of all candidates, and learn from the counts."""
+    every = found.select(F.explode(F.concat("__base", "__wide")).alias("s"))
+    voted = every.select(*(v.cast("int").alias(n) for n, v in zip(LABELERS, votes(F.col("s")), strict=True)), *(f.alias(n) for n, f in zip(SPAN_FEATURES, span_features(F.col("s")), strict=True)))
+    counted = voted.groupBy(*LABELERS, *SPAN_FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 32 patterns of votes, times 32 of features
+    return aggregate_votes(sorted((tuple(r[n] for n in LABELERS), tuple(r[n] for n in SPAN_FEATURES), r["n"]) for r in counted))
 
 
 def listed(spans: Column) -> Column:
@@ -245,23 +282,23 @@ def listed(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, `base` and `spans`: strict spans, and those with what the classifier adds."""
+    """The carried columns, `__base` and `__spans`: strict spans, and those with what the classifier adds."""
     found = stash(candidates(docs, carry), "pii-candidates")
     model = train(found)
-    return found.select(*carry, "base", F.concat("base", F.filter("wide", model.accepts)).alias("spans"))
+    return found.select(*carry, "__base", F.concat("__base", F.filter("__wide", model.accepts)).alias("__spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of strict spans by kind, base_sha256 and spans."""
-    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return detect(docs).select("doc_id", *map(of, range(4)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    of = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return detect(docs).select("doc_id", *map(of, range(4)), F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with each span replaced by its kind in angle brackets; overlapping spans become one."""
     columns = docs.columns
     df = detect(docs, tuple(columns))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
@@ -271,4 +308,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, more).otherwise(acc["done"]).alias("done"))
 
     clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return df.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*columns)
+    return df.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text))).select(*columns)
