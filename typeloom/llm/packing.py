@@ -4,8 +4,8 @@ Documents become token ids, longer ones are cut, and only the histogram of piece
 most `capacity` entries) reaches the driver. There a configuration is a multiset of lengths
 that fits a sequence, none more often than its pieces are left. The program (fewest sequences
 that hold all pieces) is solved by multiplicative weights: a length's price falls as it is
-covered, and a knapsack dynamic program finds the configuration of the highest price, which is
-used a whole number of times. It ends when all pieces are covered. Every `ROUNDS` rounds what is
+covered, and a knapsack dynamic program over the `PRICED` lengths that are covered least (of the
+highest price per token) finds the configuration of the highest price, which is used a whole number of times. It ends when all pieces are covered. Every `ROUNDS` rounds what is
 left is also filled by best fit, still on counts of lengths and never on single pieces: if that
 makes tokens / capacity sequences, rounded up, no plan has fewer, and it is the plan.
 
@@ -38,12 +38,13 @@ CAPACITY = 4096
 END_ID = 1
 #: Rounds of the multiplicative weights between two tests of the gap, and how fast prices fall.
 ROUNDS, RATE = 160, 4.0
+#: Lengths that a configuration is made of: those of the highest price per token. Bounds a round's time.
+PRICED = 512
 #: Powers of a length in its first price; the program is solved from each. Above 1, long pieces go first.
 POWERS = (1.0, 1.05)
 #: Pieces aimed at in one numbering bucket of one length.
 BUCKET_PIECES = 50_000
 
-Config = tuple[tuple[int, int], ...]
 _encoders: dict[str, WordBpe] = {}
 
 
@@ -75,11 +76,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price_configuration(lengths: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the configuration of the highest total price, none above `left`: a bounded knapsack program."""
+#: A configuration: the places of its lengths in the table of lengths, in rising order, and how often it has each.
+Config = tuple[np.ndarray, np.ndarray]
+Used = list[tuple[Config, int]]
+
+
+def price_configuration(lengths: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int, priced: int = PRICED) -> Config:
+    """The configuration of the highest total price, no length above its `left`: a bounded knapsack program."""
     best = np.zeros(capacity + 1)
     taken = []
-    for k in np.flatnonzero(left).tolist():
+    open_ = np.flatnonzero(left)
+    if len(open_) > priced:
+        open_ = np.sort(open_[np.argsort(-price[open_] / lengths[open_], kind="stable")[:priced]])
+    for k in open_.tolist():
         length, copies, n = int(lengths[k]), min(int(left[k]), capacity // int(lengths[k])), 1
         # 1, 2, 4 and so on of a length, and what remains: any number is a sum of some of them.
         while copies:
@@ -90,16 +99,18 @@ def price_configuration(lengths: np.ndarray, price: np.ndarray, left: np.ndarray
             np.copyto(best[room:], worth, where=better)
             taken.append((k, n, room, better))
             copies, n = copies - n, 2 * n
-    counts = np.zeros(len(lengths), np.int64)
+    counts: dict[int, int] = {}
     free = capacity
     for k, n, room, better in reversed(taken):
         if room <= free and better[free - room]:
-            counts[k] += n
+            counts[k] = counts.get(k, 0) + n
             free -= room
-    return counts
+    return _config(counts)
 
 
-Used = list[tuple[np.ndarray, int]]
+def _config(counts: dict[int, int]) -> Config:
+    held = sorted(counts)
+    return np.array(held, np.int64), np.array([counts[k] for k in held], np.int64)
 
 
 def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = 1.0, rounds: int = ROUNDS, rate: float = RATE) -> Iterator[tuple[Used, Used]]:
@@ -110,11 +121,10 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     while left.any():
         # Worth a share of the sequence while it is uncovered; exponentially less as it is covered.
         price = (lengths / capacity) ** power * np.exp(-rate * (1 - left / demand))
-        c = price_configuration(lengths, price, left, capacity)
-        held = c > 0
-        times = min(int((left[held] // c[held]).min()), most)
-        chosen.append((c, times))
-        left -= times * c
+        held, n = price_configuration(lengths, price, left, capacity)
+        times = min(int((left[held] // n).min()), most)
+        chosen.append(((held, n), times))
+        left[held] -= times * n
         if len(chosen) % rounds == 0 and left.any():
             yield chosen, best_fit(lengths, left, capacity)
     yield chosen, []
@@ -125,24 +135,28 @@ def fewest(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> int:
     return -(-int((lengths * demand).sum()) // capacity)
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Used:
     """Fill sequences from the longest piece on, each time with the longest that still fits, as often as counts allow."""
-    out = []
+    out: Used = []
     left = left.copy()
     while left.any():
-        c = np.zeros(len(lengths), np.int64)
+        counts: dict[int, int] = {}
         room = capacity
-        while True:
-            fit = np.flatnonzero((left > c) & (lengths <= room))
-            if not len(fit):
-                break
-            k = fit[-1]
-            n = min(int(left[k] - c[k]), room // int(lengths[k]))
-            c[k] += n
-            room -= n * int(lengths[k])
-        times = int((left[c > 0] // c[c > 0]).min())
-        out.append((c, times))
-        left -= times * c
+        open_ = np.flatnonzero(left)
+        at = len(open_)
+        while at:
+            # The longest that is left and fits; what is taken wholly doesn't come again.
+            at = min(at, int(np.searchsorted(lengths[open_], room, "right")))
+            if at:
+                k = int(open_[at - 1])
+                n = min(int(left[k]), room // int(lengths[k]))
+                counts[k] = n
+                room -= n * int(lengths[k])
+                at -= 1
+        held, n = _config(counts)
+        times = int((left[held] // n).min())
+        out.append(((held, n), times))
+        left[held] -= times * n
     return out
 
 
@@ -162,24 +176,25 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """The plan of the fewest sequences. The programs from the first prices run in turns until one reaches the bound or all have ended."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
-    plans: list[Used] = []
+    bound, sequences = fewest(lengths, demand, capacity), lambda used: sum(n for _, n in used)
+    best = best_fit(lengths, demand, capacity)
     for turn in zip_longest(*(solve_configurations(lengths, demand, capacity, power) for power in POWERS)):
         for program, rest in filter(None, turn):
-            plans.append(program + rest)
-            if sum(n for _, n in plans[-1]) == fewest(lengths, demand, capacity):
-                return _plan(lengths, plans[-1])
-    plans.append(best_fit(lengths, demand, capacity))
-    return _plan(lengths, min(plans, key=lambda used: sum(n for _, n in used)))
+            if sequences(program) + sequences(rest) < sequences(best):
+                best = program + rest
+            if sequences(best) == bound:
+                return _plan(lengths, best)
+    return _plan(lengths, best)
 
 
 def _plan(lengths: np.ndarray, chosen: Used) -> Plan:
     rows, given, base = [], np.zeros(len(lengths), np.int64), 0
-    for c, times in chosen:
+    for (held, each), times in chosen:
         offset = 0
-        for k in np.flatnonzero(c)[::-1]:
-            rows.append((int(lengths[k]), int(given[k]), base, int(c[k]), offset))
-            given[k] += times * c[k]
-            offset += int(c[k] * lengths[k])
+        for k, n in zip(held[::-1].tolist(), each[::-1].tolist(), strict=True):
+            rows.append((int(lengths[k]), int(given[k]), base, n, offset))
+            given[k] += times * n
+            offset += n * int(lengths[k])
         base += times
     rows.sort()
     t = np.array(rows, np.int64).reshape(-1, 5)
