@@ -49,6 +49,11 @@ def test_urls(spark):
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
         "a://b.net/://c": ("b.net", "/://c", "net/", "block"),
+        "http://a.b/x/Login/y": ("a.b", "/x/Login/y", None, "block"),
+        "http://a.b/loginx/y.png/z": ("a.b", "/loginx/y.png/z", None, "allow"),
+        "http://a.b/y.PNG?q": ("a.b", "/y.PNG", None, "block"),
+        "http://a.b/l/page/12/": ("a.b", "/l/page/12/", None, "block"),
+        "http://x.org/fr/login/": ("x.org", "/fr/login/", "org/fr/", "allow"),
     }
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, URL_RULES).collect()}
@@ -147,7 +152,11 @@ def test_program_covers_all_pieces():
         *between, (program, rest) = packing.solve_configurations(lengths, demand, 4096)
         assert between and rest == []
         for used in (program, *(a[: k * packing.ROUNDS] + b for k, (a, b) in enumerate(between, 1))):
-            assert (sum(n * c for c, n in used) == demand).all() and all((c * lengths).sum() <= 4096 for c, _ in used)
+            covered = np.zeros_like(demand)
+            for (held, each), times in used:
+                covered[held] += times * each
+                assert (lengths[held] * each).sum() <= 4096 and times > 0
+            assert (covered == demand).all()
 
 
 # -- n-gram join
@@ -168,20 +177,73 @@ def brute_components(texts, n, p):
     return [(len(s), f.root(i)) for i, s in enumerate(sets)]
 
 
+def edited(rng, base, share):
+    copy = list(base)
+    for _ in range(rng.randint(0, max(1, int(len(base) * share)))):
+        copy[rng.randrange(len(copy))] = rng.choice(["edit", "other", "third"]) + str(rng.randrange(9))
+    return " ".join(copy)
+
+
+def joined(spark, texts, n, p):
+    docs = docs_of(spark, texts).repartition(3)
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs, n, p, 100).collect()}
+
+
 @pytest.mark.parametrize(("n", "p"), [(3, 90), (5, 80)])
 def test_join(spark, n, p):
     rng = random.Random(4)
     texts = [*ODD, *ODD, "Two Words", "two  words"]
+    passage = prose(rng, 70)
     for _ in range(25):
         base = prose(rng, rng.choice([4, 9, 14, 25, 60, 200, 700])).split()
-        for _ in range(rng.randint(1, 7)):
-            copy = list(base)
-            for _ in range(rng.randint(0, max(1, len(base) // 40))):
-                copy[rng.randrange(len(copy))] = "edit"
-            texts.append(" ".join(copy))
-    docs = docs_of(spark, texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs, n, p, 100).collect()}
-    assert got == dict(enumerate(brute_components(texts, n, p)))
+        texts += [edited(rng, base, 0.025) for _ in range(rng.randint(1, 7))]
+        texts.append(f"{passage} {prose(rng, rng.choice([3, 12, 20, 90]))}")
+    assert joined(spark, texts, n, p) == dict(enumerate(brute_components(texts, n, p)))
+
+
+def test_join_of_clusters_beyond_a_tile_and_of_common_shingles(spark, monkeypatch):
+    for name, value in (("TILE_DOCS", 8), ("PIVOTS", 2), ("COMMON", 0.02), ("LEAST", 3), ("BUCKET", 700)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    rng = random.Random(41)
+    texts = []
+    for size, many in ((60, 70), (90, 40), (12, 30), (400, 25)):
+        base = prose(rng, size).split()
+        # Chains: each copy is made of the one before, so the ends don't link with each other.
+        for _ in range(many):
+            base = edited(rng, base, 0.02).split()
+            texts.append(" ".join(base))
+    texts += [prose(rng, 50) for _ in range(30)]
+    rng.shuffle(texts)
+    for n, p in ((3, 90), (5, 80)):
+        want = brute_components(texts, n, p)
+        assert joined(spark, texts, n, p) == dict(enumerate(want))
+        assert max(Counter(c for _, c in want).values()) > 8
+
+
+def test_sets_that_link_share_a_prefix_shingle_and_touching_bands():
+    rng = np.random.default_rng(42)
+    for p, q in ((80, 100), (90, 100), (1, 2), (1, 1)):
+        for _ in range(300):
+            a = int(rng.integers(1, 400))
+            both = int(rng.integers(1, a + 1))
+            b = both + int(rng.integers(0, 60))
+            if both * q < p * (a + b - both):
+                continue
+            k = ngramjoin.prefix_length(np.array([a, b]), p, q)
+            # The worst case: all that either lacks comes first in the order.
+            assert a - both < k[0] and b - both < k[1]
+            band = ngramjoin.band_of(np.array([a, b]), p, q)
+            assert abs(band[0] - band[1]) <= 1
+            low, high = sorted((a, b))
+            assert ngramjoin.band_of(np.array([high]), p, q)[0] <= ngramjoin.band_of(np.array([low * q // p]), p, q)[0]
+
+
+def test_join_of_repeated_ids(spark):
+    rng = random.Random(43)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (7, b + " end"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(docs, 5, 80, 100).where("n_shingles > 0").collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5), (7, 5)]
 
 
 def test_join_of_nothing_and_of_rows_without_id(spark):
@@ -250,10 +312,57 @@ def test_personal_data(spark):
 
 
 def test_votes_tell_labelers_apart():
-    votes = [((1, 1, 1, 0, 1), 50), ((1, 1, 0, 0, 1), 200), ((0, -1, 0, -1, -1), 80), ((0, 1, 0, 0, 1), 5)]
+    none = (0,) * len(pii.SPAN_FEATURES)
+    votes = [((1, 1, 1, 0, 1), none, 50), ((1, 1, 0, 0, 1), none, 200), ((0, -1, 0, -1, -1), none, 80), ((0, 1, 0, 0, 1), none, 5)]
     model = pii.aggregate_votes(votes)
     assert all(0 < x < 1 for pair in model.reliability.values() for x in pair)
-    assert model.weights[0][0] > 0 and model.weights[3][1] < 0 and pii.aggregate_votes([]).bias is not None
+    assert model.weights[0][0] > 0 and model.weights[3][1] < 0 and pii.aggregate_votes([]).bias == 0
+
+
+def test_estimates_meet_the_truth_that_votes_come_from():
+    """Against a plain form of the same steps over single candidates, and against the truth they were drawn from."""
+    rng = random.Random(31)
+    true_rate = [{1: (0.8, 0.15, 0.05), 0: (0.05, 0.15, 0.8)}, {1: (0.6, 0.3, 0.1), 0: (0.2, 0.3, 0.5)}, {1: (0.3, 0.6, 0.1), 0: (0.1, 0.6, 0.3)}, {1: (0.1, 0.8, 0.1), 0: (0.0, 0.5, 0.5)}, {1: (0.7, 0.2, 0.1), 0: (0.4, 0.2, 0.4)}]
+    drawn = []
+    for _ in range(3000):
+        z = int(rng.random() < 0.3)
+        drawn.append((z, tuple(rng.choices((1, 0, -1), r[z])[0] for r in true_rate)))
+    counts = Counter(v for _, v in drawn)
+    soft, rate = pii.estimate(counts)
+    assert sum((soft[v] > 0.5) == (z == 1) for z, v in drawn) > 2800
+    assert all(abs(rate[k][z][x] - true_rate[k][z][i]) < 0.06 for k in range(5) for z in (0, 1) for i, x in enumerate((1, 0, -1)))
+    share, plain = 0.5, [{z: dict(pii.GIVEN[z]) for z in (0, 1)} for _ in range(5)]
+    for _ in range(50):
+        chance = []
+        for _, v in drawn:
+            a, b = share, 1 - share
+            for k, x in enumerate(v):
+                a, b = a * plain[k][1][x], b * plain[k][0][x]
+            chance.append(a / (a + b))
+        share = (sum(chance) + 0.5 * pii.PRIOR) / (len(drawn) + pii.PRIOR)
+        for k in range(5):
+            for z in (0, 1):
+                w = {x: pii.PRIOR * pii.GIVEN[z][x] + sum(c if z else 1 - c for c, (_, v) in zip(chance, drawn, strict=True) if v[k] == x) for x in (1, 0, -1)}
+                plain[k][z] = {x: y / sum(w.values()) for x, y in w.items()}
+    assert all(math.isclose(rate[k][z][x], plain[k][z][x], rel_tol=1e-6) for k in range(5) for z in (0, 1) for x in (1, 0, -1))
+
+
+def test_wide_spans_give_way_as_a_plain_look_at_all_pairs_says(spark):
+    rng = random.Random(32)
+    texts = [" ".join(rng.choice(["547 555 0128", "(547) 555-0128", "4111.1111.1111.1111", "4111 1111 1111 1111", "+1 547 555 0128", "a@b.co", "me (at) x.org", "12", "x"]) for _ in range(rng.randint(0, 400))) for _ in range(12)]
+    for r in pii.candidates(docs_of(spark, texts)).collect():
+        t = texts[r.doc_id]
+        wide = [(m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) if (kind, False) in pii.NEEDS and pii.NEEDS[kind, False] in t or kind in ("card", "phone") for m in re.finditer(pii.WIDE[kind].replace("}+", "}"), t)]
+        base = plain_spans(t)
+        touch = lambda a, b: a[0] < b[2] and b[0] < a[2]
+        want = [a for a in wide if not any(touch(a, b) for b in base) and not any(touch(a, b) and b[:2] < a[:2] for b in wide)]
+        assert sorted((s.start, s.kind, s.end) for s in r["__wide"]) == sorted(want)
+        assert sorted((s.start, s.kind, s.end) for s in r["__base"]) == base
+
+
+def test_redaction_of_tables_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "to a@b.co", "x", "y", 3)], "doc_id long, text string, base string, spans string, wide int")
+    assert pii.redact(df).collect()[0][:] == (1, "to <EMAIL>", "x", "y", 3)
 
 
 # -- top-k
@@ -278,13 +387,49 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 25 == 0).count() == 0
 
 
+def best_of(v, q, k=10):
+    ok = {i: x for i, x in v.items() if len(x) == len(v[q])}
+    return sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in ok.items() if i != q)[:k]
+
+
+def test_top_k_of_huge_components_and_ties(spark):
+    rng = random.Random(61)
+    v = {i: [rng.choice([-1e5, 1e5, 12345.5, 3.25]) * rng.choice([1, 1 + 2**-30]) for _ in range(8)] for i in range(300)}
+    v |= {i: [float(i % 3), 1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0] for i in range(300, 700)}
+    v |= {700: [1e300] + [0.0] * 7, 701: [-1e18] * 8, 702: [0.0] * 8, 800: [0.0] * 8}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    sent = {}
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, sent=sent).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    ints = {i: [math.floor(1024 * x) for x in w] for i, w in v.items() if i not in (700, 701)}
+    assert sorted(got) == [0, 100, 200, 300, 400, 500, 600, 800]
+    for q in got:
+        assert got[q] == best_of(ints, q)
+
+
+def test_blocks_that_are_too_short_are_not_sent(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("QUERIES", 8), ("GROUP", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(62)
+    v = rng.normal(0, 1, (1200, 6)) * (2.0 ** -(np.arange(1200) // 60))[:, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    sent = {}
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, sent=sent).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    ints = {i: [math.floor(1024 * x) for x in w] for i, w in enumerate(v.tolist())}
+    assert all(got[q] == best_of(ints, q) for q in range(0, 1200, 10))
+    assert sent["blocks"] < 0.7 * sent["all"]
+
+
 def test_buckets_are_pruned_both_ways():
     rng = np.random.default_rng(7)
     q = rng.normal(0, 100, (5, 8)).round()
     near = np.concatenate([q + rng.normal(0, 5, q.shape).round() for _ in range(4)])
     far = rng.normal(0, 100, (500, 8))
     far = (far / np.linalg.norm(far, axis=1, keepdims=True) * 250).round()
-    s = topk.Searcher(np.arange(5), q, np.full(5, -np.inf), 3)
+    s = topk.Searcher(np.arange(5), q, np.full(5, topk.NO_BOUND), 3)
     s.bucket(np.arange(100, 120), near)
     s.bucket(np.arange(1000, 1500), far)
     s.bucket(np.arange(2000, 2500), far / 100)
@@ -396,6 +541,19 @@ def test_plain_chains_come_from_all_languages():
     assert np.bincount(plain, minlength=4).min() >= 80 and (plain[1:] == plain[:-1]).mean() > 0.7
 
 
+def test_messages_cross_long_lines():
+    rng = np.random.default_rng(16)
+    begin = np.array([0, 1, 400, 407, 1200])
+    em, tr, st = rng.normal(0, 3, (1300, 4)), rng.normal(0, 2, (4, 4)), rng.normal(size=4)
+    want, _, _ = langid.forward_backward(em, begin, tr, st)
+    for block in (1, 2, 7, 128, 5000):
+        assert np.allclose(langid.marginals(em, begin, tr, st, block), want)
+    # One word that no transition fits decides a line from far.
+    em = np.zeros((600, 2))
+    em[0, 1] = 9.0
+    assert (langid.marginals(em, np.array([0]), np.array([[20.0, 0.0], [0.0, 20.0]]), np.zeros(2))[:, 1] > 0.99).all()
+
+
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(13)
     em, tr, st, begin = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.array([0, 3, 4])

@@ -37,3 +37,19 @@ def test_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_lose_no_text_of_a_repeated_id(spark, tmp_path):
+    rng = random.Random(2)
+    a, b, c = (words(rng, 60, "aeiourstln") for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b + " tail"), (7, c), (7, None), (8, ""), (8, ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, None), (8, ""), (8, ""), (None, a), (None, None)], key=str)
+
+
+def test_mixture_keeps_documents_without_words(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, "", "en", "s", 0), (3, None, "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()]
+    assert got.count(2) == 1 and got.count(3) == 1 and 1 in got
