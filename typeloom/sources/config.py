@@ -11,7 +11,7 @@ from pathlib import Path
 
 from typeloom.plans.styles import STYLES, Style, style_for
 
-CONFIG_NAMES = ("typography_config.py", ".typography_config.py", "typography.config.py", ".typography.config.py")
+CONFIG_NAMES = ("typeloom_config.py", ".typeloom_config.py", "typeloom.config.py", ".typeloom.config.py")
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def find_config(start: str | Path) -> str | None:
 
 def load_config(path: str | Path) -> Config:
     try:
-        spec = importlib.util.spec_from_file_location("typography_config", path)
+        spec = importlib.util.spec_from_file_location("typeloom_config", path)
         module = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(module)
     except Exception as e:
