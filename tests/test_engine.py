@@ -35,7 +35,7 @@ def test_stamps():
     (EN, "It's ‘tis the '90s", "It’s ’tis the ’90s"),
     (FR, "Quoi ! « mot » l'eau : non", f"Quoi{NARROW_NO_BREAK}! «{NARROW_NO_BREAK}mot{NARROW_NO_BREAK}» l’eau{NO_BREAK}: non"),
     (FR, f"«{NO_BREAK}a{NO_BREAK}» et « b »", f"«{NO_BREAK}a{NO_BREAK}» et «{NO_BREAK}b{NO_BREAK}»"),
-    (DE_DE, "Er las « Le Monde » gestern", "Er las« Le Monde »gestern"),
+    (DE_DE, "Sie sang « La Mer » leise", "Sie sang« La Mer »leise"),
     (ES, "¿ Qué? « a »", "¿Qué? «a»"),
     (NL, "'s Morgens auto's", "’s Morgens auto’s"),
 ])
@@ -101,13 +101,13 @@ def test_survey(spark):
 def test_config(tmp_path):
     (tmp_path / ".git").mkdir()
     assert config.find_config(tmp_path) is None
-    path = tmp_path / "typography_config.py"
+    path = tmp_path / "typeloom_config.py"
     path.write_text("from typeloom.plans.styles import EN, derive\nSTYLES = [derive(EN, drop=['double-hyphen'])]\n")
     (tmp_path / "sub").mkdir()
     assert config.find_config(tmp_path / "sub") == str(path)
     own = config.load_config(path)
     assert config.resolve_style("EN", own) is own.styles[0] and [x.shadowed for x in config.available(own) if x.style is EN] == [True]
-    (tmp_path / ".typography_config.py").write_text("")
+    (tmp_path / ".typeloom_config.py").write_text("")
     with pytest.raises(ValueError):
         config.find_config(tmp_path)
     for text in ("", "STYLES = []", "STYLES = [1]", "1/0", "from typeloom.plans.styles import EN\nSTYLES = [EN, EN]"):

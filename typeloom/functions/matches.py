@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from typeloom.functions.chars import WHITE, utf16_length
 
 
-
 def no_texts() -> Column:
     return F.array().cast("array<string>")
 
@@ -67,17 +66,30 @@ def positioned(m: Column, gaps: Column) -> Column:
     )
 
 
-def started(m: Column, gaps: Column) -> Column:
-    """array<struct<m, gap, start>>: as `positioned`, for those who need no more."""
-    steps = F.transform(m, lambda _, i: F.length(F.get(gaps, i)) + F.when(i == 0, 0).otherwise(F.length(F.get(m, i - 1))))
-    placed = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("gap"), running(steps, lambda x, y: x + y, F.lit(0)).alias("start"))
-    return F.transform(placed, lambda z: F.struct(z["m"].alias("m"), z["gap"].alias("gap"), z["start"].alias("start")))
+def first_other(text: Column, pattern: str, m: Column, right: Column) -> Column:
+    """struct<m, start> of the first match of `pattern` in `text` that isn't `right`; null without one. `m` are its matches."""
+    k = F.array_position(F.transform(m, lambda x: x != right), True).cast("int")
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
+    gaps = F.split(text, pattern, -1)
+    place = let(k, lambda k: F.when(k > 0, F.struct(F.get(m, k - 1).alias("m"), (total(F.slice(gaps, 1, k)) + total(F.slice(m, 1, k - 1))).alias("start"))))
+    return F.when(F.size(m) > 0, place)
 
 
 #: A token is looked for so far on either side; one that goes on beyond counts as machine-made.
 TOKEN_SCAN = 128
 
 
+def in_prose(pattern: str) -> str:
+    """`pattern` (java.util.regex, its first character no hyphen) where the token around its start isn't machine-made.
+
+    The same as `looks_machine`, but asked by the pattern itself: the token's part before the start
+    and the part from it on are looked over, at most TOKEN_SCAN characters each, and no text is cut.
+    """
+    plain = f"[^{WHITE}=/]"
+    before = rf"(?<=(?:\A|[{WHITE}])(?:[^{WHITE}=/\-]{plain}{{0,{TOKEN_SCAN - 1}}})?)"
+    return rf"(?={pattern}){before}(?={plain}{{0,{TOKEN_SCAN}}}+(?:[{WHITE}]|\z)){pattern}"
+
+
 def looks_machine(text: Column, start: Column) -> Column:
     """Whether the token around a 0-based place is code, an address or an option rather than prose."""
     lo = F.greatest(start - TOKEN_SCAN, F.lit(0))

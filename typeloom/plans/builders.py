@@ -1,4 +1,8 @@
-"""Builders of the rules that styles share: a wording and a pattern, with holes for a language."""
+"""Builders of the rules that styles share: a wording and a pattern, with holes for a language.
+
+Fixed values: summaries, rule names and pattern sources are hashed into the published stamps, so
+they stand here as those stamps need them.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from typeloom.functions.chars import LEFT_SINGLE_QUOTE, NARROW_NO_BREAK, NO_BREAK, RIGHT_SINGLE_QUOTE, THIN
-from typeloom.functions.matches import looks_machine
+from typeloom.functions.matches import in_prose
 from typeloom.plans.rules import Ballot, Rule, Spelling, conform_rule, detect_rule, impose, replace_rule
 
 ANY_SPACE = f"[ {NO_BREAK}{NARROW_NO_BREAK}]"
@@ -15,8 +19,6 @@ ANY_SPACE_OR_THIN = f"[ {NO_BREAK}{NARROW_NO_BREAK}{THIN}]"
 _NOT_AFTER_WORD = r"(?<![\p{L}\p{N}])"
 _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}])"
 
-_prose = lambda text, m, _: ~looks_machine(text, m["start"])
-
 
 def run_start(spaces: str) -> str:
     """An assertion that a run of `spaces` begins here, which leaves one way to match it."""
@@ -44,7 +46,7 @@ def apostrophe_elision(wrong: str, clitics: str, boundary: str, examples: tuple[
 
 
 def apostrophe_after_symbol(wrong: str, cite: str) -> Rule:
-    return detect_rule("apostrophe-after-symbol", "Straight quote after a digit or symbol where Dutch takes U+2019", cite, rf"(?<=[\p{{N}}@&+]){wrong}(?=\p{{L}})", keep=_prose, triggers=_marks(wrong))
+    return detect_rule("apostrophe-after-symbol", "Straight quote after a digit or symbol where Dutch takes U+2019", cite, rf"(?<=[\p{{N}}@&+]){wrong}(?=\p{{L}})", narrowed=in_prose, triggers=_marks(wrong))
 
 
 def decade_apostrophe(wrong: str, cite: str) -> Rule:
@@ -56,7 +58,7 @@ def colon_spacing(cite: str) -> Rule:
 
 
 def double_hyphen(instead: str, cite: str) -> Rule:
-    return detect_rule("double-hyphen", f"Double hyphen between words; {instead}", cite, r"(?<=\p{L})--(?=\p{L})", keep=_prose, triggers=("--",))
+    return detect_rule("double-hyphen", f"Double hyphen between words; {instead}", cite, r"(?<=\p{L})--(?=\p{L})", narrowed=in_prose, triggers=("--",))
 
 
 def guillemet_direction(opens: str, convention: str, cite: str) -> Rule:
@@ -71,6 +73,14 @@ def ij_capital(cite: str) -> Rule:
 
 #: The marks whose inner side has a rule, and the family that names it.
 FAMILIES = {"«": "guillemet", "»": "guillemet", "„": "low-quote"}
+#: By side and by whether a single space of some class counts as right: the pattern of mark and run, and where the mark goes in a repair.
+_INNER = {
+    ("open", False): ("{outer}{mark}{run}", "before"),
+    ("open", True): ("{outer}{mark}(?!{right}(?!{spaces})){run}", "before"),
+    ("close", False): ("{start}{run}{mark}{outer}", "after"),
+    ("close", True): ("{start}(?!{right}{mark}){run}{mark}{outer}", "after"),
+}
+_OUTER = {("open", True): _NOT_AFTER_WORD, ("close", True): _NOT_BEFORE_WORD}
 
 
 def inner_space(summary: str, cite: str, mark: str, side: str, spaces: str, guard: bool, spelling: Spelling | None = None, admissible: str | None = None) -> Rule:
@@ -78,19 +88,12 @@ def inner_space(summary: str, cite: str, mark: str, side: str, spaces: str, guar
 
     A single space of the class `admissible` counts as right whichever it is.
     """
-    if mark not in FAMILIES:
-        raise ValueError(f"no rule is named for the inner side of {mark!r}")
-    if side not in ("open", "close"):
-        raise ValueError(f"a mark opens or closes, not {side!r}")
-    inner, run = spelling or impose(""), spaces + ("*" if spelling else "+")
-    if side == "open":
-        right = f"(?!{admissible}(?!{spaces}))" if admissible else ""
-        source = f"{_NOT_AFTER_WORD if guard else ''}{mark}{right}{run}"
-    else:
-        right = f"(?!{admissible}{mark})" if admissible else ""
-        source = f"{run_start(spaces)}{right}{run}{mark}{_NOT_BEFORE_WORD if guard else ''}"
-    ends = {"before": mark} if side == "open" else {"after": mark}
-    return conform_rule(f"{FAMILIES[mark]}-{side}-space", summary, cite, source, inner, triggers=(mark,), **ends)
+    row = _INNER.get((side, admissible is not None))
+    if mark not in FAMILIES or row is None:
+        raise ValueError(f"no rule for the {side!r} side of {mark!r}")
+    shape, where = row
+    source = shape.format(outer=_OUTER.get((side, guard), ""), start=run_start(spaces), mark=mark, spaces=spaces, right=admissible, run=spaces + ("*" if spelling else "+"))
+    return conform_rule(f"{FAMILIES[mark]}-{side}-space", summary, cite, source, spelling or impose(""), triggers=(mark,), **{where: mark})
 
 
 def minority_report(id: str, summary: str, cite: str, ballot: Ballot, source: str, flags: str) -> Rule:
@@ -107,11 +110,12 @@ def opening_mark_space(cite: str) -> Rule:
 
 
 def space_before_punctuation(language: str, cite: str) -> Rule:
-    return detect_rule("punctuation-spacing", f"Space before `; : ! ?`, which {language} does not take", cite, rf"\p{{L}}{ANY_SPACE}+[;:!?]", keep=_prose, shift=(1, -2), triggers=(";", ":", "!", "?"))
+    return detect_rule("punctuation-spacing", f"Space before `; : ! ?`, which {language} does not take", cite, rf"\p{{L}}{ANY_SPACE}+[;:!?]", narrowed=in_prose, shift=(1, -2), triggers=(";", ":", "!", "?"))
 
 
 def require_space_before_punctuation(summary: str, cite: str, spaces: str, admissible: str | None, marks: str, spelling: Spelling) -> Rule:
-    return conform_rule("punctuation-spacing", summary, cite, f"{f'(?!{admissible})' if admissible else ''}{spaces}(?={marks})", spelling)
+    """`marks` is a class of single characters."""
+    return conform_rule("punctuation-spacing", summary, cite, f"{f'(?!{admissible})' if admissible else ''}{spaces}(?={marks})", spelling, triggers=tuple(marks.strip("[]")))
 
 
 def straight_double_quote(instead: str, cite: str) -> Rule:
@@ -125,11 +129,14 @@ PAIRS = {"?": ("¿", "unpaired-question"), "!": ("¡", "unpaired-exclamation")}
 def unpaired_mark(mark: str, cite: str) -> Rule:
     """A closing mark of a sentence that no opening mark begins."""
     opener, id = PAIRS[mark]
+    follows = r"(?<=[\p{L}\p{N}\p{Pf}\p{Pe}'’])"
+    closed = follows + in_prose(f"[{mark}]")
 
     def keep(text, m, _):
-        # The mark itself ends sentences, so all of this sentence is in the text since the match before.
+        # The marks themselves end sentences, so all of this sentence is in the text since the match before.
         sentence = F.substring_index(F.translate(m["gap"], ".!?…", "\n\n\n\n"), "\n", -1)
-        follows = m["gap"].rlike(r"[\p{L}\p{N}\p{Pf}\p{Pe}'’]\z")
-        return follows & ~sentence.contains(opener) & ~looks_machine(text, m["start"])
+        return ~m["gap"].contains(opener) | ~sentence.contains(opener)
 
-    return detect_rule(id, f"Sentence ends in `{mark}` with no opening `{opener}`", cite, re.sub(r"([?])", r"\\\1", mark), "g", keep=keep, triggers=(mark,))
+    # As many matches as findings: sentences from their beginning to the mark, without the opener.
+    tally = rf"(?<![^.!?\n…])[^.!?\n…{opener}]*+{closed}"
+    return detect_rule(id, f"Sentence ends in `{mark}` with no opening `{opener}`", cite, re.sub(r"([?])", r"\\\1", mark), "g", keep=keep, triggers=(mark,), narrowed=lambda plain: f"(?={plain}){closed}", tally=tally)

@@ -26,7 +26,7 @@ N, W = NO_BREAK, NARROW_NO_BREAK
 CARRIERS = (
     "It's the reader's choice, isn't it?",
     "‘Tis said 'tis late; get 'em, 'twas so.",
-    "Back in the '90s and the ‘80s -- or so--they said.",
+    "Cars of the '60s, songs of the ‘70s -- not all--were loud.",
     "See well--known and --flag x--y http://a.b/c--d k=v--w for it",
     "What ! Why ? So ; thus : end",
     f"Odd{N}! and wide{W}? and a/b ! and -x : done",
@@ -41,8 +41,8 @@ CARRIERS = (
     "« texto » y «texto » y « texto» url http://x.y/z? a=b! -no!",
     "Hola. ¿Cómo? Bien? ¡Sí! No! Nunca...!",
     "'s Morgens en ‘t huis, auto's en 'ns tijd",
-    "De foto‘s van 1990's en A4'tje, @'x &'y http://a'b 3'x/y",
-    "“Een” en ‘twee’ en „drie” en “vier”",
+    "Alle foto‘s van 2010's en een B5'tje, @'q &'z http://c'd 7'u/v",
+    "“Noord” en ‘zuid’, „oost” of “west”",
     "Ijs en Ijzer maar niet IJs; Ijsland ! klaar",
     "plain words without any mark at all",
     "tab\tand 'quote' at end's end'",
@@ -57,9 +57,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     carrier = F.get(F.array(*map(F.lit, CARRIERS)), (F.col("doc_id") % len(CARRIERS)).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", "source", F.concat(carrier, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "source", *more, F.concat(carrier, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def normalize_query(style: Style, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,18 +68,17 @@ def normalize_query(style: Style, spark: SparkSession, sf_dir: str) -> DataFrame
 
 def counted(style: Style, spark: SparkSession, sf_dir: str) -> DataFrame:
     """style, rule, severity, fixable, docs and findings: one row per rule of the style."""
-    per_doc = engine.rule_counts(planted(spark, sf_dir).select("doc_id", "text"), style).select("counts")
-    sums = [x for r in style.rules for x in (F.sum(F.col("counts")[r.id]).cast("long").alias(f"{r.id}+"), F.count_if(F.col("counts")[r.id] > 0).alias(f"{r.id}#"))]
-    one = per_doc.agg(*sums)
-    rows = F.array(*(F.struct(F.lit(style.name).alias("style"), F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.fixable).alias("fixable"), F.coalesce(F.col(f"`{r.id}#`"), F.lit(0)).alias("docs"), F.coalesce(F.col(f"`{r.id}+`"), F.lit(0)).alias("findings")) for r in style.rules))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return engine.finding_totals(planted(spark, sf_dir), (style,))
+
+
+def check_rows(style: Style, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the style, with its place and excerpt."""
+    found = engine.check(planted(spark, sf_dir).select("doc_id", "text"), style)
+    return found.select("doc_id", "rule", *(F.col(c).cast("long").alias(c) for c in ("index", "length", "line", "column")), "excerpt")
 
 
 def all_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = counted(STYLES[0], spark, sf_dir)
-    for style in STYLES[1:]:
-        out = out.unionByName(counted(style, spark, sf_dir))
-    return out
+    return engine.finding_totals(planted(spark, sf_dir), STYLES)
 
 
 def severity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +133,23 @@ def minority_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.check(planted(spark, sf_dir).select("doc_id", "text"), mixed).groupBy("doc_id").agg(F.min("index").cast("long").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
+def after_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fixable rules still find in each document once it is normalized, by style."""
+    out = None
+    for style in STYLES:
+        fixable = compose(style.name, style.standard, [r for r in style.rules if r.fixable])
+        fixed = engine.normalize(planted(spark, sf_dir).select("text"), style)
+        one = engine.finding_totals(fixed, (fixable,)).groupBy("style").agg(F.sum("findings").alias("left_over"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def normalize_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the style of its own language."""
+    fixed = engine.normalize_by_language(planted(spark, sf_dir, "lang"))
+    return fixed.select("doc_id", "style", F.md5("fixed").alias("fixed_md5"), (F.col("fixed") != F.col("text")).alias("changed"))
+
+
 def file_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested report per document: whether German (DE) fixing changes it, and how many findings it has."""
     style = next(s for s in STYLES if s.name == "de-DE")
@@ -144,8 +160,16 @@ def file_report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 PING_PONG = compose("ping-pong", "ours", [replace_rule("to-b", "a to b", "ours", "a", "b", triggers=("a",)), replace_rule("to-a", "b to a", "ours", "b", "a", triggers=("b",)), replace_rule("double", "c doubled", "ours", "c", "cc", triggers=("c",))])
 
 
+def audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a style that breaks every promise breaks them, over all documents."""
+    return engine.audit(planted(spark, sf_dir).select("doc_id", "text"), PING_PONG).drop("ordinal")
+
+
 def style_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.catalog(spark, (*STYLES, with_width(NO_BREAK), with_width(NARROW_NO_BREAK)))
+    """Of each style its stamp, and how many rules it has and can fix, in their order."""
+    rules = engine.catalog(spark, (*STYLES, with_width(NO_BREAK), with_width(NARROW_NO_BREAK)))
+    ordered = F.array_sort(F.collect_list(F.struct("position", F.col("fixable").cast("int").cast("string").alias("bit"))))
+    return rules.groupBy("style", "stamp").agg(F.count(F.lit(1)).alias("rules"), F.count_if("fixable").alias("fixable"), F.array_join(F.transform(ordered, lambda x: x["bit"]), "").alias("bits"))
 
 
 def derive_drop_replace_add(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +282,88 @@ def _counts() -> dict[tuple[str, str], str]:
     return out
 
 
+_END = "¤"
+_BLANK = f"array_to_string(list_transform({_TOKENS}, lambda w: CASE WHEN {_machine('w')} THEN regexp_replace(regexp_replace(w, '[!?]', '.', 'g'), '[^.…\n]', '0', 'g') ELSE w END), '')"
+
+
+def _held(t: str, before: str, match: str, after: str, times: int = 1) -> str:
+    """`t` with marks around each match, which stands between two contexts; a context that two matches share needs a pass for each."""
+    return _sub(t, f"({before})({match})({after})", rf"\1{_MARK}\2{_END}\3", times)
+
+
+def _places() -> dict[tuple[str, str], str]:
+    """The text `t` with marks around each match, by style and rule; all else keeps its place."""
+    open_ = rf"^|[^\p{{L}}\p{{N}}{_MARK}]"
+    apostrophe = lambda w: _held("t", _L, w, _L, 2)
+    # Marks that a letter or digit stands next to outside aren't meant; they are put out of the way first.
+    begin = lambda m, spaces, t="t": _held(_sub(t, rf"([\p{{L}}\p{{N}}]){m}", r"\1⟦"), "", f"{m}{spaces}", "")
+    end = lambda m, spaces, t="t": _held(_sub(t, rf"{m}([\p{{L}}\p{{N}}])", r"⟧\1"), "", f"{spaces}{m}", "")
+    points = lambda m: _held("t", "", m, r"[\p{L}\p{N}]")
+    spaced = _held(_BLANK, "", f"{_L}{_SP}+[;:!?]", "")
+
+    def unpaired(mark: str, opener: str) -> str:
+        sentence = rf"(^|[.!?\n…{_END}])([^.!?\n…{opener}{_MARK}{_END}]*[\p{{L}}\p{{N}}\p{{Pf}}\p{{Pe}}'’])(\{mark})"
+        return _sub(_BLANK, sentence, rf"\1\2{_MARK}\3{_END}", 2)
+
+    lost = f"CASE WHEN {_widths('t', N)} > {_widths('t', W)} THEN {_q(W)} ELSE {_q(N)} END"
+    mixed = f"replace(t, '«' || {lost}, '«{_MARK}' || {lost} || '{_END}')"
+    for e in "»;!?":
+        mixed = f"replace({mixed}, {lost} || '{e}', '{_MARK}' || {lost} || '{_END}{e}')"
+    return {
+        **{(s, "apostrophe"): apostrophe(_PLAIN) for s in ("de-CH", "de-DE", "fr")},
+        **{(s, "apostrophe"): apostrophe(_EITHER) for s in ("en", "nl")},
+        **{(s.name, "straight-double-quote"): _held("t", "", '"', "") for s in STYLES},
+        **{(s, "punctuation-spacing"): spaced for s in ("de-CH", "de-DE", "en", "es", "nl")},
+        **{(s, "guillemet-open-space"): begin("«", f"{_SP}+") for s in ("de-CH", "es")},
+        **{(s, "guillemet-close-space"): end("»", f"{_SP}+") for s in ("de-CH", "es")},
+        ("de-CH", "guillemet-direction"): points("»"),
+        ("de-DE", "guillemet-direction"): points("«"),
+        ("de-DE", "low-quote-open-space"): _held("t", "", f"„{_SP}+", ""),
+        ("de-DE", "guillemet-open-space"): begin("»", f"{_SP}+"),
+        ("de-DE", "guillemet-close-space"): end("«", f"{_SP}+"),
+        ("en", "apostrophe-elision"): _held("t", open_, _EITHER, rf"(?:twas|tis|em)(?:[{_WHITE}.,;:!?)]|$)", 2),
+        ("en", "decade-apostrophe"): _held("t", open_, _EITHER, rf"[0-9]0s(?:{_X}|$)", 2),
+        ("en", "double-hyphen"): _held(_BLANK, _L, "--", _L, 2),
+        ("es", "opening-mark-space"): _held("t", "[¿¡]", f"{_SP}+", ""),
+        ("es", "unpaired-question"): unpaired("?", "¿"),
+        ("es", "unpaired-exclamation"): unpaired("!", "¡"),
+        ("fr", "colon-spacing"): _held("t", "", " ", ":"),
+        ("fr", "punctuation-spacing"): _held("t", "", f"[ {THIN}]", "[;!?]"),
+        ("fr", "guillemet-open-space"): begin("«", f"{_SPT}*", _sub("t", f"«({_NB})([^ {N}{W}{THIN}]|$)", r"⟦\1\2", 2)),
+        ("fr", "guillemet-close-space"): end("»", f"{_SPT}*", _sub("t", f"(^|[^ {N}{W}{THIN}])({_NB})»", r"\1\2⟧", 2)),
+        ("fr", "mixed-no-break-space"): f"CASE WHEN least({_widths('t', W)}, {_widths('t', N)}) > 0 THEN {mixed} ELSE t END",
+        ("fr", "missing-punctuation-space"): _held("t", "", f"{_L}[;:!?]", rf"""[{_WHITE}»)\]"'’]|$"""),
+        ("nl", "apostrophe-elision"): _held("t", open_, _EITHER, r"(?:ns|[stnkmr])[ \-]", 2),
+        ("nl", "apostrophe-after-symbol"): _held(_BLANK, r"[\p{N}@&+]", _EITHER, _L, 2),
+        ("nl", "mixed-quotation-marks"): _held("t", open_, "[“‘„]", f"[^{_WHITE}]", 4),
+        ("nl", "ij-capital"): _held("t", open_, "Ij", r"\p{Ll}", 2),
+    }
+
+
+#: By rule, where SQL tells a match by itself: what a finding's start and length are beyond the match's.
+_SHIFTS = {"missing-punctuation-space": (1, -1)} | {"punctuation-spacing": (1, -2)}
+
+
+def _rows_sql(style: Style) -> str:
+    """Places and excerpts from the marked texts: lengths of what stands before each mark."""
+    marked = _places()
+    votes = [_marks(_sub("t", f"(^|{_X}){c}([^{_WHITE}])", rf"\1{_MARK}\2", 4)) for c in "“‘„"]
+    won = f"CASE WHEN {votes[0]} >= greatest({votes[1]}, {votes[2]}) THEN '“' WHEN {votes[1]} >= {votes[2]} THEN '‘' ELSE '„' END"
+    parts = []
+    for rule in style.rules:
+        begin, more = (0, 0) if rule.id == "punctuation-spacing" and style.name == "fr" else _SHIFTS.get(rule.id, (0, 0))
+        lost = f" AND m <> {won}" if rule.id == "mixed-quotation-marks" else ""
+        cut = f"SELECT doc_id, t, string_split({marked[style.name, rule.id]}, '{_MARK}') AS p FROM planted"
+        each = f"SELECT doc_id, t, p, unnest(range(2, len(p) + 1)) AS i FROM ({cut})"
+        at = f"SELECT doc_id, t, split_part(p[i], '{_END}', 1) AS m, length(replace(array_to_string(p[1:i-1], ''), '{_END}', '')) + {begin} AS a FROM ({each})"
+        parts.append(f"SELECT doc_id, t, '{rule.id}' AS rule, a, length(m) + {more} AS n FROM ({at}) WHERE true{lost}")
+    window = _revealed("substr(t, greatest(a - 25, 0) + 1, a + n + 25 - greatest(a - 25, 0))")
+    before = "substr(t, 1, a)"
+    return f"""WITH {_DOCS}, f AS ({' UNION ALL '.join(parts)})
+SELECT doc_id, rule, a::BIGINT AS "index", n::BIGINT AS length, (length({before}) - length(replace({before}, chr(10), '')) + 1)::BIGINT AS line,
+(length(regexp_extract({before}, '[^\n]*$')) + 1)::BIGINT AS "column", {window} AS excerpt FROM f"""
+
+
 _DOCS = f"planted AS (SELECT doc_id, source, list_extract([{', '.join(map(_q, CARRIERS))}], CAST(doc_id % {len(CARRIERS)} AS INT) + 1) || chr(10) || coalesce(text, '') AS t FROM documents)"
 
 
@@ -271,8 +377,60 @@ def _of_style(style: Style) -> dict[str, str]:
     return {rule: sql for (s, rule), sql in _counts().items() if s == style.name}
 
 
+#: Stands for the columns to take from the normalized texts.
+_COLUMNS = "<columns>"
+
+
 def _fixed_sql(label: str) -> str:
-    """The normalized text of `t`, step by step in common table expressions."""
+    return _normalized_sql(label).replace(_COLUMNS, "doc_id, md5(t) AS fixed_md5, length(t)::BIGINT AS n_chars, t <> t0 AS changed")
+
+
+def _left_over_sql(style: Style) -> str:
+    sql = _of_style(style)
+    total = " + ".join(f"({sql[r.id]})" for r in style.rules if r.fixable)
+    return _normalized_sql(style.name).replace(_COLUMNS, f"'{style.name}' AS style, coalesce(sum({total}), 0)::BIGINT AS left_over")
+
+
+def _by_language_sql() -> str:
+    """Each document's row of the fixed texts of its language's style."""
+    parts = [(tag, next(s for s in STYLES if s.name == name)) for tag, name in engine.BY_LANGUAGE.items()]
+    rows = [f"SELECT f.doc_id, '{s.id}' AS style, f.fixed_md5, f.changed FROM ({_fixed_sql(s.name)}) f JOIN documents d USING (doc_id) WHERE lower(d.lang) = '{tag}'" for tag, s in parts]
+    tags = ", ".join(f"'{tag}'" for tag, _ in parts)
+    others = f"WITH {_DOCS} SELECT p.doc_id, NULL::VARCHAR AS style, md5(p.t) AS fixed_md5, false AS changed FROM planted p JOIN documents d USING (doc_id) WHERE d.lang IS NULL OR lower(d.lang) NOT IN ({tags})"
+    return " UNION ALL ".join(f"(SELECT * FROM ({x}))" for x in [*rows, others])
+
+
+def _audit_sql() -> str:
+    """What the three rules a to b, b to a and c to cc break, by the definition of each promise."""
+    n = lambda t, c: _times(t, c)
+    near = lambda t, c: _revealed(f"substr({t}, greatest(strpos({t}, '{c}') - 26, 0) + 1, strpos({t}, '{c}') + 25 - greatest(strpos({t}, '{c}') - 26, 0))")
+    again = "fixing what is fixed gives another text"
+    sample = f"CASE WHEN length(t) <= 120 THEN {_revealed('t')} ELSE {_revealed('substr(t, 1, 120)')} || '...' END AS sample"
+    states = "replace(t, 'a', 'b') AS s1, replace(replace(t, 'a', 'b'), 'b', 'a') AS s2, replace(replace(replace(t, 'a', 'b'), 'b', 'a'), 'c', 'cc') AS s3"
+    row = lambda prop, rule, culprit, detail, where: f"SELECT doc_id, '{prop}' AS property, '{rule}' AS rule, {culprit} AS culprit, sample, {detail} AS detail FROM st WHERE {where}"
+    none = "NULL::VARCHAR"
+    rows = [
+        *(row("idempotence", rule, none, f"'{again}'", f"{fix.format(fix.format('t'))} <> {fix.format('t')}") for rule, fix in (("to-b", "replace({}, 'a', 'b')"), ("to-a", "replace({}, 'b', 'a')"), ("double", "replace({}, 'c', 'cc')"))),
+        row("non-interference", "to-b", "'to-a'", f"'to-a undoes it: ' || {n('s2', 'a')} || ' to repair anew'", f"{n('s1', 'a')} = 0 AND {n('s2', 'a')} > 0"),
+        row("non-interference", "to-b", "'double'", f"'double undoes it: ' || {n('s3', 'a')} || ' to repair anew'", f"{n('s1', 'a')} = 0 AND {n('s2', 'a')} = 0 AND {n('s3', 'a')} > 0"),
+        row("non-interference", "to-a", "'double'", f"'double undoes it: ' || {n('s3', 'b')} || ' to repair anew'", f"{n('s2', 'b')} = 0 AND {n('s3', 'b')} > 0"),
+        row("idempotence", "normalize", none, f"'{again}'", "replace(replace(replace(s3, 'a', 'b'), 'b', 'a'), 'c', 'cc') <> s3"),
+        *(row("conformance", rule, none, f"'left in the normalized text: ' || {near('s3', c)}", f"{n('s3', c)} > 0") for rule, c in (("to-b", "a"), ("to-a", "b"), ("double", "c"))),
+    ]
+    return f"WITH {_DOCS}, st AS MATERIALIZED (SELECT doc_id, t, {sample}, {states} FROM planted) " + " UNION ALL ".join(rows)
+
+
+def _catalog_sql() -> str:
+    """The published stamps (fixed values), and what the survey of the rules says of each style's rules."""
+    stamps = {"fr": "4ed7f1b2db8f", "es": "8a1408a1e177", "de-DE": "69f15e8b27a9", "de-CH": "f4928d1e43d1", "nl": "54bd114c5488", "en": "cde694363e76"}
+    fixable = {"de-CH": "100110", "de-DE": "1001110", "en": "111000", "es": "1110000", "fr": "11111000", "nl": "1100000"}
+    shape = [(s, stamps[s], bits) for s, bits in fixable.items()] + [("fr", x, "1111100") for x in ("659c8ecb848a", "d45bfd9cec02")]
+    rows = ", ".join(f"('{s}', '{stamp}', {len(bits)}, {bits.count('1')}, '{bits}')" for s, stamp, bits in shape)
+    return f"SELECT style, stamp, n::BIGINT AS rules, f::BIGINT AS fixable, bits FROM (VALUES {rows}) v(style, stamp, n, f, bits)"
+
+
+def _normalized_sql(label: str) -> str:
+    """The normalized text `t` (and the given one, `t0`), step by step in common table expressions."""
     apostrophe = lambda t, w: _sub(t, f"({_L}){w}({_L})", r"\1’\2", 2)
     opened = lambda t, m: _sub(t, f"(^|{_X}){m}{_SP}+", rf"\1{m}", 2)
     closed = lambda t, m: _sub(t, rf"{_SP}+{m}({_X}|$)", rf"{m}\1", 2)
@@ -303,7 +461,7 @@ def _fixed_sql(label: str) -> str:
         ]
     ctes = [_DOCS, "s0 AS (SELECT doc_id, t, t AS t0 FROM planted)"]
     ctes += [f"s{i + 1} AS MATERIALIZED (SELECT doc_id, {step} AS t, t0 FROM s{i})" for i, step in enumerate(steps)]
-    return f"WITH {', '.join(ctes)} SELECT doc_id, md5(t) AS fixed_md5, length(t)::BIGINT AS n_chars, t <> t0 AS changed FROM s{len(steps)}"
+    return f"WITH {', '.join(ctes)} SELECT {_COLUMNS} FROM s{len(steps)}"
 
 
 def _all_counted_sql() -> str:
@@ -369,6 +527,7 @@ QUERIES: dict[str, Query] = {
     "normalize_fr_00a0": partial(normalize_query, with_width(NO_BREAK)),
     "normalize_fr_202f": partial(normalize_query, with_width(NARROW_NO_BREAK)),
     **{f"findings_{s.name.lower().replace('-', '_')}": partial(counted, s) for s in STYLES},
+    **{f"check_rows_{s.name.lower().replace('-', '_')}": partial(check_rows, s) for s in STYLES},
     "severity_totals": severity_totals,
     "coverage_by_rule": coverage_by_rule,
     "unfixable_findings": unfixable_findings,
@@ -380,7 +539,10 @@ QUERIES: dict[str, Query] = {
     "width_survey_by_source": partial(width_survey, ("source",)),
     "quote_system_verdict": quote_system_verdict,
     "minority_positions": minority_positions,
+    "after_normalize": after_normalize,
+    "normalize_by_language": normalize_by_language,
     "file_report_nested": file_report_nested,
+    "audit_violations": audit_violations,
     "style_catalog": style_catalog,
     "derive_drop_replace_add": derive_drop_replace_add,
 }
@@ -390,6 +552,7 @@ ORACLES: dict[str, str] = {
     "normalize_fr_00a0": _fixed_sql("fr_00a0"),
     "normalize_fr_202f": _fixed_sql("fr_202f"),
     **{f"findings_{s.name.lower().replace('-', '_')}": _counted_sql(s, _of_style(s)) for s in STYLES},
+    **{f"check_rows_{s.name.lower().replace('-', '_')}": _rows_sql(s) for s in STYLES},
     "severity_totals": f"SELECT style, severity, sum(findings)::BIGINT AS findings FROM ({_all_counted_sql()}) GROUP BY ROLLUP (style, severity)",
     "coverage_by_rule": f"SELECT rule, count(*)::BIGINT AS styles, count_if(findings > 0)::BIGINT AS reached FROM ({_all_counted_sql()}) GROUP BY rule",
     "unfixable_findings": f"SELECT style, sum(findings)::BIGINT AS undecided FROM ({_all_counted_sql()}) WHERE NOT fixable GROUP BY style",
@@ -403,6 +566,10 @@ SELECT page_id, (i - 1)::BIGINT AS "index", (length(before) - length(replace(bef
     "width_survey_by_source": _survey_sql("source"),
     "quote_system_verdict": _quotes_sql(),
     "minority_positions": _minority_sql(),
+    "after_normalize": " UNION ALL ".join(f"(SELECT * FROM ({_left_over_sql(s)}))" for s in STYLES),
+    "normalize_by_language": _by_language_sql(),
     "file_report_nested": _report_sql(),
+    "audit_violations": _audit_sql(),
+    "style_catalog": _catalog_sql(),
     "derive_drop_replace_add": _counted_sql(_house(), _HOUSE),
 }

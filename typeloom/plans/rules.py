@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from typeloom.functions.chars import java_pattern
+from typeloom.functions.matches import let
 
 
 def encoded(value: object) -> str:
@@ -46,7 +48,8 @@ class Ballot:
         """array<bigint> of votes, in the order of the candidates."""
         found = F.regexp_extract_all(text, F.lit(java_pattern(self.source, self.flags)), F.lit(0))
         fresh = F.transform(F.array(*map(F.lit, self.candidates)), lambda c: F.size(F.filter(found, lambda m: m == c)).cast("long"))
-        return F.coalesce(fresh, F.array_repeat(F.lit(0).cast("long"), len(self.candidates)))
+        # Most texts hold no candidate, and need no pattern.
+        return F.when(reduce(Column.__or__, map(text.contains, self.candidates)), fresh).otherwise(F.array_repeat(F.lit(0).cast("long"), len(self.candidates)))
 
     def verdict(self, votes: Column) -> Column:
         """The candidate with most votes."""
@@ -111,6 +114,10 @@ class Rule:
     shift: tuple[int, int] = (0, 0)
     #: A text without any of these can't match; spares it the pattern.
     triggers: tuple[str, ...] = ()
+    #: What makes the JVM's pattern of the translated one: conditions on a match that a pattern can tell.
+    narrowed: Callable[[str], str] | None = field(default=None, compare=False)
+    #: For a rule with `keep`, a pattern of which there are as many matches as the rule has findings.
+    tally: str | None = field(default=None, compare=False)
 
     @property
     def fixable(self) -> bool:
@@ -118,7 +125,8 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        return java_pattern(self.source, self.flags)
+        plain = java_pattern(self.source, self.flags)
+        return self.narrowed(plain) if self.narrowed else plain
 
     @property
     def signature(self) -> str:
@@ -136,6 +144,21 @@ class Rule:
             out = out | text.contains(t)
         return out
 
+    def count(self, text: Column) -> Column:
+        """How many findings a text has; null for a null text. No match is placed."""
+        pattern = F.lit(self.tally or self.pattern)
+        if self.fixable:
+            n = F.size(self.wrong(text))
+        elif self.ballot is not None:
+            found = F.regexp_extract_all(text, pattern, F.lit(0))
+            lost = self.ballot.minority(self.ballot.votes(text))
+            n = let(lost, lambda lost: F.when(F.size(lost) > 0, F.size(F.filter(found, lambda m: F.array_contains(lost, m)))).otherwise(F.lit(0)))
+        elif self.keep is None or self.tally:
+            n = F.regexp_count(text, pattern)
+        else:
+            return F.lit(None)
+        return F.when(self.possible(text), n).otherwise(F.when(text.isNotNull(), F.lit(0)))
+
     def fix(self, text: Column) -> Column:
         if self.spelling is None:
             return text
@@ -144,7 +167,7 @@ class Rule:
     def wrong(self, text: Column) -> Column:
         """Matches (texts) of a fixable rule that its repair would change."""
         found = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-        return F.filter(found, lambda m: m != self.repair(text))
+        return let(self.repair(text), lambda right: F.filter(found, lambda m: m != right))
 
 
 def _global(flags: str, rule_id: str) -> None:
@@ -166,8 +189,11 @@ def conform_rule(id: str, summary: str, cite: str, source: str, spelling: Spelli
     return Rule(id, summary, cite, severity, "conform", source, flags, (spelling.signature,), spelling, before, after, triggers=triggers)
 
 
-def detect_rule(id: str, summary: str, cite: str, source: str, flags: str = "gu", severity: str = "error", keep: Keep | None = None, ballot: Ballot | None = None, shift: tuple[int, int] = (0, 0), triggers: tuple[str, ...] = ()) -> Rule:
+def detect_rule(
+    id: str, summary: str, cite: str, source: str, flags: str = "gu", severity: str = "error", keep: Keep | None = None, ballot: Ballot | None = None, shift: tuple[int, int] = (0, 0),
+    triggers: tuple[str, ...] = (), narrowed: Callable[[str], str] | None = None, tally: str | None = None,
+) -> Rule:
     """Reports matches that `keep` lets through; with a ballot, `keep` sees the text's minority spellings."""
     _global(flags, id)
     params = () if ballot is None else (ballot.signature,)
-    return Rule(id, summary, cite, severity, "detect", source, flags, params, keep=keep, ballot=ballot, shift=shift, triggers=triggers)
+    return Rule(id, summary, cite, severity, "detect", source, flags, params, keep=keep, ballot=ballot, shift=shift, triggers=triggers, narrowed=narrowed, tally=tally)
