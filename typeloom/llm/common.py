@@ -41,6 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"file://{_own_folder()}").rstrip("/")
 
 
+#: Texts in one Arrow batch take no more than so many bytes, but for a single longer text.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small, as both sides of a Python worker hold several of one at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < have <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -48,6 +60,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     executors since every executor reads the same files. `discard` deletes them.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
@@ -64,7 +77,7 @@ def discard(*stashed: DataFrame) -> None:
 
 
 def bounded_sample(rows: DataFrame, per_class: int, by: str, *identity: str | Column) -> DataFrame:
-    """About `per_class` rows of `rows` of each non-null value of `by`, or all where there are fewer.
+    """About `per_class` rows of `rows` of each non-null value of `by`, or all where no class has more than 1.2 * `per_class` + 60.
 
     A row is taken if the hash of `identity` (what makes it this row) is below its class's share, or
     is the least of its class: so the choice depends neither on the partitioning nor on any order,
@@ -73,13 +86,13 @@ def bounded_sample(rows: DataFrame, per_class: int, by: str, *identity: str | Co
     the smallest hashes are.
     """
     h = unit_hash(*identity, seed=17)
+    most = per_class * 6 // 5 + 60
     known = rows.where(F.col(by).isNotNull())
     told = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("least")).collect()
-    if not told:
-        return rows.limit(0)
+    if max((r["n"] for r in told), default=0) <= most:
+        return known
     limits = [x for r in sorted(told, key=lambda r: r[by]) for x in (F.lit(r[by]), F.lit(max(per_class / r["n"], r["least"])))]
     some = known.where(h <= F.element_at(F.create_map(*limits), F.col(by)))
-    most = per_class * 6 // 5 + 60
     if max(r["n"] for r in some.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()) <= most:
         return some
     place = F.row_number().over(Window.partitionBy(by).orderBy(h, *identity))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
 from typeloom.llm import subwords as sw
-from typeloom.llm.common import bounded_sample, fold_of, refuse_clashes
+from typeloom.llm.common import bound_batches, bounded_sample, fold_of, refuse_clashes
 
 PER_LANG = 300
 TRAIN_CHARS = 20_000
@@ -344,6 +344,7 @@ def train(docs: DataFrame) -> LanguageModel:
 
 def label_documents(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, lang_pred and score of each row's text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded tables: n-gram buckets and a lexicon, by language
     refuse_clashes(carry, "lang_pred", "score")
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
