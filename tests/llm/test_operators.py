@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from typeloom.llm import bytewords, compressor, langid, mixing, ngramjoin, packing, pii, quality_rules, topk, toxicity, urlfilter
+from typeloom.llm.common import bounded_sample, in_order, labelled_sample
 from typeloom.llm.queries import URL_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -483,6 +484,31 @@ def test_learned_list(spark):
     assert quality_rules.train(docs, labels.limit(0)) == [] and quality_rules.judge(docs.limit(0), rules).count() == 0
 
 
+# -- samples
+
+
+def test_samples_are_bounded_by_row_and_lose_no_class(spark):
+    one_id = [(7, f"text {i}", "a") for i in range(3000)]
+    same = [(8, "same", "b")] * 3000
+    few = [(i, f"few {i}", "c") for i in range(5)]
+    docs = spark.createDataFrame([*one_id, *same, *few, (9, "x", None)], "doc_id long, text string, kind string")
+    take = lambda df: sorted(map(tuple, bounded_sample(df, 100, "kind", "doc_id", F.xxhash64("text")).collect()))
+    got = take(docs)
+    n = Counter(k for *_, k in got)
+    assert 50 <= n["a"] <= 180 and 1 <= n["b"] <= 180 and n["c"] == 5 and set(n) == {"a", "b", "c"}
+    assert take(docs.repartition(5)) == got and take(docs.limit(0)) == []
+
+
+def test_labelled_samples_take_repeated_ids_and_labels(spark):
+    docs = spark.createDataFrame([(0, f"t{i}") for i in range(400)] + [(2, "u"), (3, "v"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1)] * 50 + [(2, 0), (2, 1), (3, 0), (None, 1), (4, None), (5, 7)], "doc_id long, quality int")
+    sample, share = labelled_sample(docs, labels, "quality", 20)
+    keep = {i for i in (0, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
+    known = [(i, y) for i, y in ((0, 1), (2, 0), (2, 1), (3, 0)) if i in keep]
+    got = [(r.doc_id, r.y) for r in in_order(sample, "text", "y")]
+    assert math.isclose(share, sum(y for _, y in known) / len(known)) and set(got) == set(known) and len(got) <= 2 * 84
+
+
 # -- learned scores
 
 
