@@ -4,10 +4,12 @@ Documents become token ids, longer ones are cut, and only the histogram of piece
 most `capacity` entries) reaches the driver. There a configuration is a multiset of lengths
 that fits a sequence, none more often than its pieces are left. The program (fewest sequences
 that hold all pieces) is solved by multiplicative weights: a length's price falls as it is
-covered, and a knapsack dynamic program over the `PRICED` lengths that are covered least (of the
-highest price per token) finds the configuration of the highest price, which is used a whole number of times. It ends when all pieces are covered. Every `ROUNDS` rounds what is
-left is also filled by best fit, still on counts of lengths and never on single pieces: if that
-makes tokens / capacity sequences, rounded up, no plan has fewer, and it is the plan.
+covered, and a knapsack dynamic program finds the configuration of the highest price, which is
+used a whole number of times. Of more than `PRICED` lengths that are left, the program takes one of
+each group of neighbours, that of the highest price per token. It ends when all pieces are covered.
+Every `ROUNDS` rounds what is left is also filled by best fit, still on counts of lengths and never on
+single pieces: if that is within `GAP` of tokens / capacity sequences, rounded up, which no plan is
+below, it is the plan.
 
 Pieces then look up their place. The pieces of one length are numbered in parallel (within
 hash buckets, whose counts are summed first), so that a hot length isn't one task, and a number
@@ -38,10 +40,12 @@ CAPACITY = 4096
 END_ID = 1
 #: Rounds of the multiplicative weights between two tests of the gap, and how fast prices fall.
 ROUNDS, RATE = 160, 4.0
-#: Lengths that a configuration is made of: those of the highest price per token. Bounds a round's time.
+#: Lengths that a round prices; bounds its time.
 PRICED = 512
+#: One sequence in so many that a plan may be above the bound.
+GAP = 5000
 #: Powers of a length in its first price; the program is solved from each. Above 1, long pieces go first.
-POWERS = (1.0, 1.05)
+POWERS = (1.001, 1.05)
 #: Pieces aimed at in one numbering bucket of one length.
 BUCKET_PIECES = 50_000
 
@@ -87,7 +91,11 @@ def price_configuration(lengths: np.ndarray, price: np.ndarray, left: np.ndarray
     taken = []
     open_ = np.flatnonzero(left)
     if len(open_) > priced:
-        open_ = np.sort(open_[np.argsort(-price[open_] / lengths[open_], kind="stable")[:priced]])
+        # Neighbours in length: of each group, the one of the highest price per token.
+        worth = price[open_] / lengths[open_]
+        group = np.arange(len(open_)) * priced // len(open_)
+        order = np.lexsort((-worth, group))
+        open_ = np.sort(open_[order[np.searchsorted(group, np.arange(priced))]])
     for k in open_.tolist():
         length, copies, n = int(lengths[k]), min(int(left[k]), capacity // int(lengths[k])), 1
         # 1, 2, 4 and so on of a length, and what remains: any number is a sum of some of them.
@@ -173,18 +181,18 @@ class Plan:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan of the fewest sequences. The programs from the first prices run in turns until one reaches the bound or all have ended."""
+    """The plan of the fewest sequences. The programs from the first prices run in turns until one is within the gap or all have ended."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
     bound, sequences = fewest(lengths, demand, capacity), lambda used: sum(n for _, n in used)
-    best = best_fit(lengths, demand, capacity)
+    best: Used | None = None
     for turn in zip_longest(*(solve_configurations(lengths, demand, capacity, power) for power in POWERS)):
         for program, rest in filter(None, turn):
-            if sequences(program) + sequences(rest) < sequences(best):
+            if best is None or sequences(program) + sequences(rest) < sequences(best):
                 best = program + rest
-            if sequences(best) == bound:
+            if sequences(best) <= bound + bound // GAP:
                 return _plan(lengths, best)
-    return _plan(lengths, best)
+    return _plan(lengths, best or [])
 
 
 def _plan(lengths: np.ndarray, chosen: Used) -> Plan:
