@@ -527,17 +527,16 @@ def _overlap_links(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
 
 
 def _pivot_links(sets: DataFrame, large: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (a, b) of the sets of large clusters with a few sets of the same cluster: `large` is (d1, cluster, n_shingles).
+    """Links (a, b) of the sets of large clusters with a few sets of the same cluster: `large` is (d1, cluster, n_shingles, cuts).
 
-    Each round a cluster's pivot is the set of the smallest hash of another seed; the pivots'
-    sets, at most one of TILE_DOCS sets each, travel to the others by an equi-join that Spark splits
-    where a cluster is hot.
+    For each of PIVOTS seeds a cluster's pivot is the set of the smallest hash. The sets of a
+    cluster are dealt by hash into its `cuts`, and the pivots are sent to each of them: a few sets for TILE_DOCS others.
     """
     seeds = F.explode(F.array(*(F.lit(k) for k in range(PIVOTS)))).alias("seed")
-    order = F.struct(F.xxhash64("seed", "d1").alias("h"), F.col("d1").alias("pivot"))
-    pivots = large.select("cluster", "d1", seeds).groupBy("cluster", "seed").agg(F.min(order).alias("best")).select("cluster", F.col("best.pivot").alias("pivot")).distinct()
+    order = F.struct(F.xxhash64("seed", "d1").alias("h"), F.col("d1").alias("pivot"), "cuts")
+    pivots = large.select("cluster", "d1", "cuts", seeds).groupBy("cluster", "seed").agg(F.min(order).alias("best")).select("cluster", "best.pivot", "best.cuts").distinct()
     own = sets.select(F.col("d1").alias("pivot"), F.col("shingles").alias("theirs"))
-    held = pivots.join(own, "pivot").dropDuplicates(["cluster", "pivot"])
+    held = pivots.join(own, "pivot").dropDuplicates(["cluster", "pivot"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -546,7 +545,8 @@ def _pivot_links(sets: DataFrame, large: DataFrame, p: int, q: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(hit)), d.filter(pa.array(hit))], names=["a", "b"])
 
     fit = (F.length("shingles") * q >= F.length("theirs") * p) & (F.length("theirs") * q >= F.length("shingles") * p)
-    met = sets.join(large.select("d1", "cluster"), "d1").join(held, "cluster").where(fit & (F.col("d1") != F.col("pivot")))
+    dealt = large.select("d1", "cluster", F.pmod(F.xxhash64("d1"), F.col("cuts")).cast("int").alias("cut"))
+    met = sets.join(dealt, "d1").join(held, ["cluster", "cut"]).where(fit & (F.col("d1") != F.col("pivot")))
     return met.select(F.col("pivot").alias("a"), F.col("d1").alias("b"), "shingles", "theirs").mapInArrow(run, "a long, b long")
 
 
@@ -555,6 +555,11 @@ def _band(n: Column, p: int, q: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(q / p)) - F.lit(1e-9)).cast("int") if q > p else n.cast("int")
 
 
+def _cuts() -> Column:
+    """How many tiles hold `docs` sets of `tokens` shingles."""
+    return F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("tokens") / TILE_SHINGLES)).cast("int")
+
+
 def _tile_pairs(chosen: DataFrame, p: int, q: int) -> DataFrame:
     """(d1, cluster, t1, t2, side): every set of a cluster, once for each pair of tiles that it is part of.
 
@@ -573,8 +578,7 @@ def _tile_pairs(chosen: DataFrame, p: int, q: int) -> DataFrame:
     kind = ["cluster", "loose", "part", "band"]
     within = large.groupBy(*kind).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
     main = within.where("NOT loose").groupBy("cluster", "part").agg(F.sum("docs").alias("docs")).groupBy("cluster").agg(F.max(F.struct("docs", "part"))["part"].alias("main"))
-    cuts = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("tokens") / TILE_SHINGLES)).cast("int")
-    within = within.join(main, "cluster", "left").select(*kind, cuts.alias("cuts"), (~F.col("loose") & (F.col("part") == F.col("main"))).alias("largest"))
+    within = within.join(main, "cluster", "left").select(*kind, _cuts().alias("cuts"), (~F.col("loose") & (F.col("part") == F.col("main"))).alias("largest"))
     tile = F.xxhash64("loose", "part", "band", "cut")
     tiles = within.select(*kind, "largest", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).withColumn("tile", tile)
     of = lambda side: tiles.select("cluster", *(F.col(c).alias(f"{c}_{side}") for c in ("loose", "part", "band", "tile", "largest")))
@@ -626,8 +630,9 @@ def _verified_edges(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFr
 
 def _links(sets: DataFrame, chosen: DataFrame, p: int, q: int) -> DataFrame:
     """`node` and `component` of the sets that links connect within the clusters of `chosen` (d1, cluster, n_shingles)."""
-    heavy = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).where((F.col("docs") > TILE_DOCS) | (F.col("tokens") > TILE_SHINGLES))
-    large = stash(chosen.join(heavy.select("cluster"), "cluster").select("d1", "cluster", "n_shingles"), "join-large")
+    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).where((F.col("docs") > TILE_DOCS) | (F.col("tokens") > TILE_SHINGLES))
+    heavy = size.select("cluster", _cuts().alias("cuts"))
+    large = stash(chosen.join(heavy, "cluster").select("d1", "cluster", "n_shingles", "cuts"), "join-large")
     first = stash(_pivot_links(sets, large, p, q), "join-pivots")
     parts = connected(first)
     parted = chosen.join(parts, F.col("d1") == F.col("node"), "left").select("d1", "cluster", F.col("component").alias("part"), "n_shingles")
