@@ -2,6 +2,7 @@
 
 from itertools import product
 
+#: The marks, spaces, neighbours and words that the digests below follow from.
 SPACE, NBSP, NNBSP, THIN, RSQ, LSQ = " ", "\u00a0", "\u202f", "\u2009", "’", "‘"
 MARKS = ("«", "»", "„", "“", "”", LSQ, RSQ, '"', "'")
 OUTER = ("", SPACE, "x", "1", ".", "\n")

@@ -19,6 +19,7 @@ from typeloom.operators import engine
 from typeloom.plans import builders
 from typeloom.plans.rules import detect_rule, replace_rule
 from typeloom.plans.styles import QUOTES, STYLES, Style, compose, derive, with_width
+from typeloom.sources.texts import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +55,7 @@ CARRIERS = (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def planted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -100,7 +101,7 @@ def strict_exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_column_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = compose("quotes", "ours", [builders.straight_double_quote("none", "ours")])
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    pages = dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text")))
     return engine.check(pages, quotes).select("page_id", F.col("index").cast("long").alias("index"), F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
 
 

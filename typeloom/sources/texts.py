@@ -27,6 +27,12 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", text: st
     return df if text == "text" else df.withColumnRenamed(text, "text")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df`; where it comes in fewer parts than there are cores (a small file is a single part), dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def write_fixed(df: DataFrame, style: Style, out: str, format: str = "parquet", mode: str = "errorifexists") -> None:
     """Fixed texts with the style's id beside them; only rows that fixing changes."""
     fixed = engine.changed(df, style).where("changed").drop("text", "changed").withColumnRenamed("fixed", "text")
