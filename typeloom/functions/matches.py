@@ -23,7 +23,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
 
 
-def running(a: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
+def running(a: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 16) -> Column:
     """Inclusive running combination (of an associative operation) of an array, in two levels."""
     part = lambda i: F.floor(i / block).cast("int")
     fold = lambda x: F.aggregate(x, zero, combine)
