@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import compressor, langid, mixing, ngramjoin, packing, pii, quality_rules, topk, toxicity, urlfilter
 from typeloom.llm.common import fold_of
+from typeloom.sources.texts import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
