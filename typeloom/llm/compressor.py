@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes
+from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes, tidy
 
 PER_CLASS = 1500
 TRAIN_CHARS = 20_000
@@ -145,5 +145,5 @@ def score_documents(docs: DataFrame, model: CompressionClassifier, carry: tuple[
             score = np.concatenate([shared.value.score(text.slice(at, 256).to_pylist()) for at in range(0, len(text), 256)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*cols, pa.array(score, pa.float64())], names=[*keep, "score"])
 
-    scored = picked.mapInArrow(run, schema)
+    scored = picked.mapInArrow(tidy(run), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
 from typeloom.llm import subwords as sw
-from typeloom.llm.common import bound_batches, bounded_sample, fold_of, refuse_clashes
+from typeloom.llm.common import bound_batches, bounded_sample, fold_of, refuse_clashes, tidy
 
 PER_LANG = 300
 TRAIN_CHARS = 20_000
@@ -355,4 +355,4 @@ def label_documents(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...
                 pred, score = shared.value.label(b.column(b.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in carry), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), schema)

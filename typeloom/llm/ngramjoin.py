@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
-from typeloom.llm.common import discard, stash
+from typeloom.llm.common import discard, stash, tidy
 from typeloom.llm.components import connected
 
 #: A tile holds about so many documents, and about so many shingles.
@@ -120,7 +120,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(bounds)), *digests], names=["doc_id", "text_key", "n_shingles", "d1", "d2"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return picked.mapInArrow(run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long")
+    return picked.mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, d1 long, d2 long")
 
 
 def _met_once(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -254,7 +254,7 @@ class Common:
                 t, often = np.unique(values.view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(often)], names=["t", "n"])
 
-        counted = some.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+        counted = some.mapInArrow(tidy(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
         ranked = sorted((r["n"], r["t"]) for r in counted.where(F.col("n") >= max(LEAST, int(COMMON * rows / every))).collect())
         values = np.array([t for _, t in ranked], np.int64).view(np.uint64)
         order = np.argsort(values)
@@ -325,8 +325,8 @@ def _promising(docs: DataFrame, n: int, p: int, q: int, common: Common, buckets:
             number += np.maximum(0, prefix_length(size, p, q) - 1 + spare(size) - (size - often))
             yield pa.RecordBatch.from_arrays([pa.array(d1[number >= spare(-(-size * p // q))])], names=["d1"])
 
-    dealt = _dealt(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(prefixes, _DEALT))
-    return _dealt(dealt.mapInArrow(shared, _DEALT)).mapInArrow(enough, "d1 long")
+    dealt = _dealt(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(tidy(prefixes), _DEALT))
+    return _dealt(dealt.mapInArrow(tidy(shared), _DEALT)).mapInArrow(tidy(enough), "d1 long")
 
 
 def _wanted_sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
@@ -338,7 +338,7 @@ def _wanted_sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum(size)])
             yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(size), _blob(values, bounds[:-1])], names=["d1", "n_shingles", "shingles"])
 
-    return docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "d1 long, n_shingles long, shingles binary")
+    return docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), "d1 long, n_shingles long, shingles binary")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -418,8 +418,8 @@ def _candidate_keys(sets: DataFrame, p: int, q: int, common: Common, buckets: in
                 key = bw.mix64(token[use] + bw.mix64((own[row[use]] + step).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(info[row[use]])], names=["key", "d1"])
 
-    by_shingle = _dealt(sets.select("d1", "shingles").mapInArrow(dealt_out, _DEALT))
-    return _dealt(by_shingle.mapInArrow(held, _DEALT)).mapInArrow(prefixes, "key long, d1 long")
+    by_shingle = _dealt(sets.select("d1", "shingles").mapInArrow(tidy(dealt_out), _DEALT))
+    return _dealt(by_shingle.mapInArrow(tidy(held), _DEALT)).mapInArrow(tidy(prefixes), "key long, d1 long")
 
 
 def _candidate_edges(keys: DataFrame) -> DataFrame:
@@ -547,7 +547,7 @@ def _pivot_links(sets: DataFrame, large: DataFrame, p: int, q: int) -> DataFrame
     fit = (F.length("shingles") * q >= F.length("theirs") * p) & (F.length("theirs") * q >= F.length("shingles") * p)
     dealt = large.select("d1", "cluster", F.pmod(F.xxhash64("d1"), F.col("cuts")).cast("int").alias("cut"))
     met = sets.join(dealt, "d1").join(held, ["cluster", "cut"]).where(fit & (F.col("d1") != F.col("pivot")))
-    return met.select(F.col("pivot").alias("a"), F.col("d1").alias("b"), "shingles", "theirs").mapInArrow(run, "a long, b long")
+    return met.select(F.col("pivot").alias("a"), F.col("d1").alias("b"), "shingles", "theirs").mapInArrow(tidy(run), "a long, b long")
 
 
 def _band(n: Column, p: int, q: int) -> Column:
@@ -625,7 +625,7 @@ def _verified_edges(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFr
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return sorted_.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(tidy(run), "a long, b long")
 
 
 def _links(sets: DataFrame, chosen: DataFrame, p: int, q: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
-from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes
+from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes, tidy
 
 PER_CLASS = 3000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_echoes", "n_lines")
@@ -112,7 +112,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFra
                 got = count_statistics(*bw.texts_of(b.column(b.schema.get_field_index("text"))))
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in carry), *(pa.array(got[c]) for c in COUNTS)], names=[*carry, *COUNTS])
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), schema)
 
 
 @dataclass(frozen=True)

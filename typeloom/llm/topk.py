@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import discard, stash
+from typeloom.llm.common import discard, stash, tidy
 
 K = 10
 SCALE = 1024
@@ -77,7 +77,7 @@ def _integers(df: DataFrame, scale: int) -> DataFrame:
                 raw = [r.tobytes() for r in w[keep].astype("<f8")]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]], pa.int64()), pa.array(np.full(keep.sum(), w.shape[1]), pa.int32()), pa.array(norm2[keep]), pa.array(raw, pa.binary())], names=["vec_id", "dim", "norm2", "raw"])
 
-    return df.mapInArrow(run, "vec_id long, dim int, norm2 double, raw binary").dropDuplicates(["vec_id", "raw"])
+    return df.mapInArrow(tidy(run), "vec_id long, dim int, norm2 double, raw binary").dropDuplicates(["vec_id", "raw"])
 
 
 _BLOCK_SCHEMA = "dim int, n int, longest double, least double, ids binary, mat binary, bounds binary"
@@ -103,7 +103,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return rows.select("vec_id", "dim", "norm2", "raw", "bound").mapInArrow(run, _BLOCK_SCHEMA)
+    return rows.select("vec_id", "dim", "norm2", "raw", "bound").mapInArrow(tidy(run), _BLOCK_SCHEMA)
 
 
 def needed_length(bound: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
             need = needed_length(bound.astype(np.float64), np.sqrt(b.column(2).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(bound), pa.array(need)], names=["vec_id", "dim", "norm2", "raw", "bound", "need"])
 
-    asked = rows.where(is_query).select("vec_id", "dim", "norm2", "raw").mapInArrow(bounded, "vec_id long, dim int, norm2 double, raw binary, bound long, need double")
+    asked = rows.where(is_query).select("vec_id", "dim", "norm2", "raw").mapInArrow(tidy(bounded), "vec_id long, dim int, norm2 double, raw binary, bound long, need double")
     groups = max(1, math.ceil(rows.where(is_query).count() / (QUERIES * GROUP)))
     asked = asked.repartitionByRange(groups, "need", "vec_id").sortWithinPartitions("dim", "need", "vec_id")
     queries = stash(_blocks(asked, QUERIES).withColumn("place", F.spark_partition_id()), "topk-queries")
@@ -297,7 +297,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
                         x.bucket(ids, m)
         yield from out(searchers)
 
-    found = met.select("g", "h", "kind", "dim", "n", "ids", "mat", "bounds").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = met.select("g", "h", "kind", "dim", "n", "ids", "mat", "bounds").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     out = stash(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-result")
     discard(rows, buckets, queries)

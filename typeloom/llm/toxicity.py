@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import bytewords as bw
 from typeloom.llm import subwords as sw
-from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes
+from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes, tidy
 from typeloom.llm.compressor import fit_logistic
 
 PER_CLASS = 1500
@@ -231,5 +231,5 @@ def score_documents(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...
                 score = shared.value.score(b.column(b.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in carry), pa.array(score, pa.float64())], names=[*carry, "score"])
 
-    scored = docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    scored = docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
