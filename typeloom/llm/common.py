@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Texts in one Arrow batch take no more than so many bytes, but for a single longer text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -57,7 +57,7 @@ BUCKET, DEAL = 500_000, 500_000
 #: One in so many shingles is added to the prefix that leaves classes out.
 SPARE = 10
 #: Classes of the sample that tells very common shingles, and the share of it from which a shingle is one.
-SAMPLE, COMMON, LEAST = 20_000, 0.005, 16
+SAMPLE, COMMON, LEAST = 5_000, 0.005, 16
 #: Digests by which a task knows sets that it has met, so that it hands on a set of many copies once.
 MET = 200_000
 #: The filter that spares most texts a second reading has so many bits for each set, up to a whole of 32 MB; what it lets through besides does no harm.
