@@ -8,8 +8,9 @@ covered, and a knapsack dynamic program finds the configuration of the highest p
 used a whole number of times. Of more than `PRICED` lengths that are left, the program takes one of
 each group of neighbours, that of the highest price per token. It ends when all pieces are covered.
 Every `ROUNDS` rounds what is left is also filled by best fit, still on counts of lengths and never on
-single pieces: if that is within `GAP` of tokens / capacity sequences, rounded up, which no plan is
-below, it is the plan.
+single pieces. The plan is the first of these of which the program has made half, and that is within
+`GAP` of tokens / capacity sequences, rounded up, which no plan is below; else the one of the fewest sequences,
+best fit alone included.
 
 Pieces then look up their place. The pieces of one length are numbered in parallel (within
 hash buckets, whose counts are summed first), so that a hot length isn't one task, and a number
@@ -25,7 +26,6 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,11 @@ END_ID = 1
 #: Rounds of the multiplicative weights between two tests of the gap, and how fast prices fall.
 ROUNDS, RATE = 160, 4.0
 #: Lengths that a round prices; bounds its time.
-PRICED = 512
+PRICED = 256
 #: One sequence in so many that a plan may be above the bound.
 GAP = 5000
-#: Powers of a length in its first price; the program is solved from each. Above 1, long pieces go first.
-POWERS = (1.001, 1.05)
+#: Power of a length in its first price: above 1, of configurations equally full the one of longer pieces comes first.
+POWER = 1.001
 #: Pieces aimed at in one numbering bucket of one length.
 BUCKET_PIECES = 50_000
 
@@ -121,7 +121,7 @@ def _config(counts: dict[int, int]) -> Config:
     return np.array(held, np.int64), np.array([counts[k] for k in held], np.int64)
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = 1.0, rounds: int = ROUNDS, rate: float = RATE) -> Iterator[tuple[Used, Used]]:
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, power: float = POWER, rounds: int = ROUNDS, rate: float = RATE) -> Iterator[tuple[Used, Used]]:
     """Configurations and how often each is used: those of the program so far and best fit's of the rest, each `rounds` rounds; at last the program's alone."""
     chosen: Used = []
     left = demand.copy()
@@ -181,18 +181,18 @@ class Plan:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan of the fewest sequences. The programs from the first prices run in turns until one is within the gap or all have ended."""
+    """The first plan that the program has made half of within the gap, or else that of the fewest sequences."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
     bound, sequences = fewest(lengths, demand, capacity), lambda used: sum(n for _, n in used)
     best: Used | None = None
-    for turn in zip_longest(*(solve_configurations(lengths, demand, capacity, power) for power in POWERS)):
-        for program, rest in filter(None, turn):
-            if best is None or sequences(program) + sequences(rest) < sequences(best):
-                best = program + rest
-            if sequences(best) <= bound + bound // GAP:
-                return _plan(lengths, best)
-    return _plan(lengths, best or [])
+    for program, rest in solve_configurations(lengths, demand, capacity):
+        if best is None or sequences(program) + sequences(rest) < sequences(best):
+            best = program + rest
+        if 2 * sequences(program) >= bound and sequences(best) <= bound + bound // GAP:
+            return _plan(lengths, best)
+    rest = best_fit(lengths, demand, capacity)  # all of it: seldom better than any the program has a part in
+    return _plan(lengths, rest if best is None or sequences(rest) < sequences(best) else best)
 
 
 def _plan(lengths: np.ndarray, chosen: Used) -> Plan:
