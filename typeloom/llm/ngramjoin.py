@@ -563,18 +563,16 @@ def _cuts() -> Column:
 def _tile_pairs(chosen: DataFrame, p: int, q: int) -> DataFrame:
     """(d1, cluster, t1, t2, side): every set of a cluster, once for each pair of tiles that it is part of.
 
-    `chosen` is (d1, cluster, part, n_shingles); sets of one `part` are known to be connected, a
-    null part says nothing. A cluster within a tile's bounds is one tile. Tiles of larger ones hold
+    `chosen` is (d1, cluster, part, n_shingles) with the cluster's `docs` and `tokens`; sets of one
+    `part` are known to be connected, a null part says nothing. A cluster within a tile's bounds is one tile. Tiles of larger ones hold
     sets of one part and one size band; two tiles meet if that could connect anything new, and if
     their bands touch. Tiles of the largest part only meet others, so their pairs are never listed.
     All this is told before any set is moved.
     """
-    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
-    banded = chosen.join(size, "cluster")
     small = (F.col("docs") <= TILE_DOCS) & (F.col("tokens") <= TILE_SHINGLES)
     whole = F.lit(0).cast("long")
-    one = banded.where(small).select("d1", "cluster", whole.alias("t1"), whole.alias("t2"), F.lit(0).alias("side"))
-    large = banded.where(~small).select("d1", "cluster", F.coalesce("part", F.lit(0)).alias("part"), F.col("part").isNull().alias("loose"), "n_shingles", _band(F.col("n_shingles"), p, q).alias("band"))
+    one = chosen.where(small).select("d1", "cluster", whole.alias("t1"), whole.alias("t2"), F.lit(0).alias("side"))
+    large = chosen.where(~small).select("d1", "cluster", F.coalesce("part", F.lit(0)).alias("part"), F.col("part").isNull().alias("loose"), "n_shingles", _band(F.col("n_shingles"), p, q).alias("band"))
     kind = ["cluster", "loose", "part", "band"]
     within = large.groupBy(*kind).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
     main = within.where("NOT loose").groupBy("cluster", "part").agg(F.sum("docs").alias("docs")).groupBy("cluster").agg(F.max(F.struct("docs", "part"))["part"].alias("main"))
@@ -630,15 +628,16 @@ def _verified_edges(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFr
 
 def _links(sets: DataFrame, chosen: DataFrame, p: int, q: int) -> DataFrame:
     """`node` and `component` of the sets that links connect within the clusters of `chosen` (d1, cluster, n_shingles)."""
-    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).where((F.col("docs") > TILE_DOCS) | (F.col("tokens") > TILE_SHINGLES))
-    heavy = size.select("cluster", _cuts().alias("cuts"))
-    large = stash(chosen.join(heavy, "cluster").select("d1", "cluster", "n_shingles", "cuts"), "join-large")
+    size = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens"))
+    # Written out, so that a hot cluster's rows are a side of a plain join, which Spark splits, and no later step inherits their place.
+    sized = stash(chosen.join(size, "cluster"), "join-sized")
+    large = sized.where((F.col("docs") > TILE_DOCS) | (F.col("tokens") > TILE_SHINGLES)).select("d1", "cluster", "n_shingles", _cuts().alias("cuts"))
     first = stash(_pivot_links(sets, large, p, q), "join-pivots")
     parts = connected(first)
-    parted = chosen.join(parts, F.col("d1") == F.col("node"), "left").select("d1", "cluster", F.col("component").alias("part"), "n_shingles")
+    parted = sized.join(parts, F.col("d1") == F.col("node"), "left").select("d1", "cluster", F.col("component").alias("part"), "n_shingles", "docs", "tokens")
     rest = stash(_verified_edges(sets, _tile_pairs(parted, p, q), p, q), "join-tiles")
     out = connected(first.unionByName(rest))
-    discard(large, first, parts, rest)
+    discard(sized, first, parts, rest)
     return out
 
 
