@@ -19,7 +19,7 @@ lines of several languages. Every text is labelled whole.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0, and so is every
 text if no language was learned. Repeated rows are labelled alike; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored unless carried, and a carried `lang_pred` or `score` is refused.
 """
 
 from __future__ import annotations

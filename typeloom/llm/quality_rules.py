@@ -6,11 +6,14 @@ of the highest information gain on one part of the sample, pruned on the other p
 last condition back, and kept if it is precise there; what it covers is set aside, and the
 next rule is learned from the rest. The list is a chain of WHEN conditions on the statistics.
 
-The sample is bounded: at most `PER_CLASS` documents a class.
+The fitting is bounded: a sample of at most 1.2 * `PER_CLASS` + 60 documents a class; of each statistic, `THRESHOLDS`
+candidate thresholds among bad documents and as many among all, evenly by rank; `LONGEST` conditions a
+rule and `MOST` rules. The judging isn't: every text is counted whole.
 
 Defined results: a null or empty text has zero statistics and fails the base rules; without
 labels of both classes the list is empty and only the base rules decide; repeated rows are
-judged alike; an empty table gives an empty result; other columns are ignored.
+judged alike; equal labels of one id count once; an empty table gives an empty result; other columns are
+ignored unless carried, and a carried name that is added (in any case) is refused.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from typeloom.llm import bytewords as bw
 from typeloom.llm.common import bound_batches, in_order, labelled_sample, refuse_clashes, tidy
 
 PER_CLASS = 3000
+THRESHOLDS, LONGEST, MOST = 64, 3, 12
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_echoes", "n_lines")
 #: Statistics that conditions are about: interpretable ratios of the counts.
 RATIOS = {
@@ -153,7 +157,7 @@ def ratios_of(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: counts[a] / np.maximum(1, counts[b]) for k, (a, b) in RATIOS.items()}
 
 
-def _thresholds(v: np.ndarray, most: int = 64) -> np.ndarray:
+def _thresholds(v: np.ndarray, most: int = THRESHOLDS) -> np.ndarray:
     """Midpoints between neighbouring values, `most` of them, evenly by rank."""
     u = np.unique(v)
     if len(u) < 2:
@@ -190,7 +194,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> list[Condi
     return rule
 
 
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, longest: int = 3, most: int = 12, precise: float = 0.9) -> list[Rule]:
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, longest: int = LONGEST, most: int = MOST, precise: float = 0.9) -> list[Rule]:
     """Rules in order. `part`: True where a row is for growing, False where it is for pruning."""
     rules, left = [], np.ones(len(bad), bool)
     while len(rules) < most and (bad & left & part).sum() >= 3:
