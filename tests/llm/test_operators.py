@@ -203,7 +203,7 @@ def test_join(spark, n, p):
 
 
 def test_join_of_clusters_beyond_a_tile_and_of_common_shingles(spark, monkeypatch):
-    for name, value in (("TILE_DOCS", 8), ("PIVOTS", 2), ("COMMON", 0.02), ("LEAST", 3), ("BUCKET", 700)):
+    for name, value in (("TILE_DOCS", 8), ("PIVOTS", 2), ("COMMON", 0.02), ("LEAST", 3), ("BUCKET", 700), ("TASK_BUCKETS", 1)):
         monkeypatch.setattr(ngramjoin, name, value)
     rng = random.Random(41)
     texts = []

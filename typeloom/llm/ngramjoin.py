@@ -54,6 +54,8 @@ PIVOTS = 4
 LEAF, FAN = 16, 8
 #: Shingles in a counting bucket, and in what a task deals out at once.
 BUCKET, DEAL = 500_000, 500_000
+#: Buckets that a task works on, one after another.
+TASK_BUCKETS = 16
 #: One in so many shingles is added to the prefix that leaves classes out.
 SPARE = 10
 #: Classes of the sample that tells very common shingles, and the share of it from which a shingle is one.
@@ -213,8 +215,10 @@ def _handed_on(bucket: int, kind: int, columns: list[bytes]) -> pa.RecordBatch:
     return _row(kind, np.array([bucket]), *(pa.array([x], pa.binary()) for x in columns))
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket together; no task gets more than some TASK_BUCKETS, whatever the session's number of partitions."""
+    few = buckets <= TASK_BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartition("bucket") if few else df.repartition(buckets // TASK_BUCKETS, "bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def _unrun(got: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -325,8 +329,8 @@ def _promising(docs: DataFrame, n: int, p: int, q: int, common: Common, buckets:
             number += np.maximum(0, prefix_length(size, p, q) - 1 + spare(size) - (size - often))
             yield pa.RecordBatch.from_arrays([pa.array(d1[number >= spare(-(-size * p // q))])], names=["d1"])
 
-    dealt = _dealt(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(tidy(prefixes), _DEALT))
-    return _dealt(dealt.mapInArrow(tidy(shared), _DEALT)).mapInArrow(tidy(enough), "d1 long")
+    dealt = _dealt(docs.where("doc_id IS NOT NULL").select("text").mapInArrow(tidy(prefixes), _DEALT), buckets)
+    return _dealt(dealt.mapInArrow(tidy(shared), _DEALT), buckets).mapInArrow(tidy(enough), "d1 long")
 
 
 def _wanted_sets(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
@@ -418,8 +422,8 @@ def _candidate_keys(sets: DataFrame, p: int, q: int, common: Common, buckets: in
                 key = bw.mix64(token[use] + bw.mix64((own[row[use]] + step).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(info[row[use]])], names=["key", "d1"])
 
-    by_shingle = _dealt(sets.select("d1", "shingles").mapInArrow(tidy(dealt_out), _DEALT))
-    return _dealt(by_shingle.mapInArrow(tidy(held), _DEALT)).mapInArrow(tidy(prefixes), "key long, d1 long")
+    by_shingle = _dealt(sets.select("d1", "shingles").mapInArrow(tidy(dealt_out), _DEALT), buckets)
+    return _dealt(by_shingle.mapInArrow(tidy(held), _DEALT), buckets).mapInArrow(tidy(prefixes), "key long, d1 long")
 
 
 def _candidate_edges(keys: DataFrame) -> DataFrame:
